@@ -1,4 +1,11 @@
 """Interval-highlight analytics on PySpark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __all__ = ["__version__"]
 __version__ = "0.1.0"
+
+# Functions travel to the workers with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
