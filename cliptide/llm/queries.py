@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cliptide.llm._common import table
 from cliptide.llm.near_dedup import near_duplicates
+from cliptide.llm.quality import quality
 from cliptide.llm.toxicity import toxicity
 
 
@@ -15,12 +16,17 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
 
