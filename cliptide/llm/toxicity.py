@@ -432,3 +432,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         "doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
     )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of documents that score below THRESHOLD, with all their columns."""
+    scored = score_documents(docs, fit(docs, labels), score_col="__toxicity")
+    return scored.filter(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
