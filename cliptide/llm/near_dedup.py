@@ -268,3 +268,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = s.save(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "n_links"))
     s.drop(g.buckets, g.sets, g.classes, g.rows)
     return out
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each near-duplicate group, with all its columns: the one whose doc_id the
+    group is named by; of repeated rows of that id, one."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    return rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(rows.filter("doc_id IS NULL"))
