@@ -12,6 +12,7 @@ from cliptide.llm.near_dedup import near_duplicates
 from cliptide.llm.packing import pack
 from cliptide.llm.quality import quality
 from cliptide.llm.toxicity import toxicity
+from cliptide.llm.url_filter import judge_urls
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op8_url_filter": op8_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 
