@@ -63,13 +63,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sentences = F.flatten(F.transform(lines, lambda line: F.split(line, r"(?<=[.!?])\s+")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.array(text), lines, sentences).alias("__units"))
 
+    # Counted once for each unit: inside a lambda nothing is shared between uses.
+    counted = F.transform("__units", lambda u: F.struct(u.alias("u"), (F.size(F.split(u, "[A-Za-z0-9]+")) - 2).alias("n")))
+
     def some_size(unit: Column) -> Column:
-        n, fits = F.regexp_count(unit, F.lit("[A-Za-z0-9]+")) - 1, F.lit(False)
+        fits = F.lit(False)
         for m in sizes:
-            fits = fits | may_match(n, m)
+            fits = fits | may_match(unit["n"], m)
         return fits
 
-    fit = F.transform(F.array_distinct(F.filter("__units", some_size)), normalised_words)
+    fit = F.transform(F.array_distinct(F.transform(F.filter(counted, some_size), lambda s: s["u"])), normalised_words)
     pairs = F.transform(
         F.array_distinct(fit),
         lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))),
