@@ -10,6 +10,7 @@ from cliptide.llm import license_scan
 from cliptide.llm._common import table
 from cliptide.llm.mixing import mix
 from cliptide.llm.near_dedup import near_duplicates
+from cliptide.llm.neighbours import nearest
 from cliptide.llm.packing import pack
 from cliptide.llm.quality import quality
 from cliptide.llm.toxicity import toxicity
@@ -32,6 +33,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_url_filter": op8_url_filter,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
