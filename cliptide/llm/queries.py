@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cliptide.llm import license_scan
 from cliptide.llm._common import table
+from cliptide.llm.language_model import score_texts
 from cliptide.llm.mixing import mix
 from cliptide.llm.near_dedup import near_duplicates
 from cliptide.llm.neighbours import nearest
@@ -21,6 +22,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_language_model": op2_language_model,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
