@@ -12,7 +12,9 @@ Steps, each a distributed table:
    member of a bucket (another in each round) with the members that are not yet
    in its component: a group of n near copies costs n comparisons a round, not
    n * n. What then still differs inside a bucket is compared pair by pair, so
-   no link between components goes missing.
+   no link between components goes missing; there finer odd sketches (8192 bits
+   of 2048 samples) leave only pairs close to the threshold or above it, and a
+   pair is taken up in one of the buckets it shares.
 4. A pair whose sketches differ by more than a pair at the threshold would
    (SIGMAS deviations beyond the mean) is dropped; all others are decided on
    their full sets.
@@ -41,6 +43,8 @@ NUM, DEN = 75, 100
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
+#: Samples and bits of the fine sketches, made only for classes left after the star rounds.
+FINE_SAMPLES, FINE_BITS = 2048, 8192
 SIGMAS = 4.5
 STAR_ROUNDS = 3
 
@@ -48,6 +52,9 @@ _rng = np.random.default_rng(20240607)
 _MULT = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _PLUS = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)[:, None]
 _SALT = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_FINE_MULT = (_rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
+_FINE_PLUS = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32)[:, None]
+_FINE_SALT = _rng.integers(0, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,19 +74,19 @@ def shingle_set(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     return np.unique(mix64(h))
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """128 samples of a set that isn't empty."""
-    low = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+def minhash(shingles: np.ndarray, mult: np.ndarray = _MULT, plus: np.ndarray = _PLUS, step: int = 2048) -> np.ndarray:
+    """One sample for each multiplier, of a set that isn't empty."""
+    low = np.full(len(mult), 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), 2048):
-        np.minimum(low, (x[None, i : i + 2048] * _MULT + _PLUS).min(axis=1), out=low)
+    for i in range(0, len(x), step):
+        np.minimum(low, (x[None, i : i + step] * mult + plus).min(axis=1), out=low)
     return low
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Eight 64-bit words: the parity of how many samples hit each bit."""
-    at = (mix64(samples.astype(np.uint64) + _SALT) >> np.uint64(64 - int(math.log2(SKETCH_BITS)))).astype(np.int64)
-    parity = (np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+def odd_sketch(samples: np.ndarray, salt: np.ndarray = _SALT, bits: int = SKETCH_BITS) -> np.ndarray:
+    """64-bit words: the parity of how many samples hit each bit."""
+    at = (mix64(samples.astype(np.uint64) + salt) >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)
+    parity = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64)
 
 
@@ -91,9 +98,8 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def most_flips(similarity: float = NUM / DEN) -> int:
-    """Differing sketch bits beyond which a pair counts as below ``similarity``."""
-    n, k = SKETCH_BITS, SAMPLES
+def most_flips(n: int = SKETCH_BITS, k: int = SAMPLES, similarity: float = NUM / DEN) -> int:
+    """Differing bits, of n from k samples, beyond which a pair counts as below ``similarity``."""
     differing = 2 * k * (1 - similarity)
     mean = n / 2 * (1 - math.exp(-2 * differing / n))
     slope = math.exp(-2 * differing / n)
@@ -142,6 +148,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [
+            odd_sketch(minhash(np.frombuffer(m.as_buffer(), np.uint64), _FINE_MULT, _FINE_PLUS, 128), _FINE_SALT, FINE_BITS)
+            for m in batch.column(1)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], ["of", "fine"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -210,8 +225,14 @@ class _Groups:
 
     def rest(self) -> None:
         members = self.scratch.save(self.members(), "lz4")
+        nodes = members.select(F.col("node").alias("digest")).distinct()
+        fine = self.sets.join(nodes, "digest", "left_semi").select("digest", "members").mapInArrow(_fine, "of binary, fine array<long>")
+        keys = self.classes.select(F.col("digest").alias("of"), "keys")
+        members = self.scratch.save(members.join(fine.join(keys, "of"), F.col("node") == F.col("of")).drop("of"), "lz4")
+        flips = F.aggregate(F.zip_with("m.fine", "h.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        once = F.array_min(F.array_intersect("m.keys", "h.keys")) == F.col("m.key")
         pairs = members.alias("m").join(members.alias("h"), F.col("m.key") == F.col("h.key")).filter(
-            (F.col("m.label") < F.col("h.label")) & _likely("m", "h")
+            (F.col("m.label") < F.col("h.label")) & _likely("m", "h") & (flips <= most_flips(FINE_BITS, FINE_SAMPLES)) & once
         )
         self._test(pairs.select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")))
         self.scratch.drop(members)
