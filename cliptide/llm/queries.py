@@ -16,6 +16,7 @@ from cliptide.llm.packing import pack
 from cliptide.llm.quality import quality
 from cliptide.llm.toxicity import toxicity
 from cliptide.llm.url_filter import judge_urls
+from cliptide.llm.warc import archive_pages
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_model": op2_language_model,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_nearest_neighbours": op7_nearest_neighbours,
