@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,11 +109,8 @@ def coordinates(names: dict[str, str]) -> list[Column]:
 _MODEL = "array<double>"
 
 
-@F.pandas_udf(_MODEL)
-def _estimate(n, sums, products):
+def _estimate(n: pd.Series, sums: pd.Series, products: pd.Series) -> pd.Series:
     """Centre, then the inverse of the scatter (row by row), from sums over the kept rows."""
-    import pandas as pd
-
     out = []
     for k, s, q in zip(n, sums, products, strict=True):
         centre = np.asarray(s) / k
@@ -145,6 +143,7 @@ def models(stats: DataFrame, names: dict[str, str], group: list[str], scratch: S
         F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x) if i
     ]).filter(F.col("__n") >= LEAST)
     diagonal = [F.lit(1 / FLOORS[i] ** 2 if i == j else 0.0) for i in range(COORDINATES) for j in range(COORDINATES)]
+    estimate = F.pandas_udf(_estimate, _MODEL)
     model = scratch.save(start.select(*keys, F.array(*[F.col(f"m{i}") for i in range(COORDINATES)], *diagonal).alias("__model")))
     for _ in range(STEPS):
         sized = rows.join(model, reduce(lambda a, b: a & b, [rows[k].eqNullSafe(model[k]) for k in keys])).select(
@@ -164,7 +163,7 @@ def models(stats: DataFrame, names: dict[str, str], group: list[str], scratch: S
             *[F.sum(f"q{i}_{j}").alias(f"q{i}_{j}") for i in range(COORDINATES) for j in range(i, COORDINATES)],
         )
         products = F.array(*[F.col(f"q{min(i, j)}_{max(i, j)}") for i in range(COORDINATES) for j in range(COORDINATES)])
-        old, model = model, scratch.save(added.select(*keys, _estimate(F.col("__k"), F.array(*[F.col(f"s{i}") for i in range(COORDINATES)]), products).alias("__model")))
+        old, model = model, scratch.save(added.select(*keys, estimate(F.col("__k"), F.array(*[F.col(f"s{i}") for i in range(COORDINATES)]), products).alias("__model")))
         scratch.drop(old)
     return model.select(*[F.col(k).alias(c) for k, c in zip(keys, group, strict=True)], "__model")
 
