@@ -200,7 +200,8 @@ class _Groups:
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
         """The sets of classes that share a bucket with another; one text of each class is read again."""
         wanted = nodes.join(self.classes, F.col("node") == F.col("digest")).select("rep", "digest")
-        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text").mapInArrow(_sets, "digest binary, members binary")
+        ids = wanted.select("rep").distinct()
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(_sets, "digest binary, members binary")
         return self.scratch.save(texts.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "lz4")
 
     def members(self) -> DataFrame:
@@ -256,13 +257,11 @@ class _Groups:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate groups: doc_id, n_shingles, component_id, kept, n_links.
+    """Near-duplicate groups: doc_id, n_shingles, component_id, kept.
 
     One row per input row. Two texts are linked if 100 * |intersection| >= 75 *
     |union| of their shingle sets; component_id is the smallest doc_id reached
-    over links, kept marks the row whose own id that is. n_links counts the
-    confirmed links of the row's class to other classes that were tested; links
-    inside one component beyond those that hold it together are not expanded.
+    over links, kept marks the row whose own id that is.
 
     Null, empty and blank texts have no shingles and are their own component
     (null id: null). A null doc_id takes part in a group but never names it
@@ -278,15 +277,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if g.labels is not None:
         named = classes.join(g.labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest"))
         low = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-        ends = g.tested.filter("linked").select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n_links"))
-        classes = named.join(low, "label").join(ends, F.col("digest") == F.col("end"), "left").select("digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        classes = named.join(low, "label").select("digest", "component_id")
     else:
-        classes = classes.select("digest", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    out = g.rows.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
-    out = s.save(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "n_links"))
+        classes = classes.select("digest", F.col("rep").alias("component_id"))
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = g.rows.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = s.save(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
     s.drop(g.buckets, g.sets, g.classes, g.rows)
     return out
 
@@ -297,3 +293,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
     return rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(rows.filter("doc_id IS NULL"))
+
+
+#: The same in DuckDB, by comparing all texts that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * c >= 75 * (len(a.s) + len(b.s) - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(r.low, s.doc_id)) AS component_id, s.doc_id <= coalesce(r.low, s.doc_id) AS kept
+FROM sets s LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY 1) r ON r.x = s.doc_id
+"""

@@ -6,21 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliptide.llm import license_scan
+from cliptide.llm import license_scan, near_dedup, warc
 from cliptide.llm._common import table
 from cliptide.llm.language_model import score_texts
 from cliptide.llm.mixing import mix
-from cliptide.llm.near_dedup import near_duplicates
 from cliptide.llm.neighbours import nearest
 from cliptide.llm.packing import pack
 from cliptide.llm.quality import quality
 from cliptide.llm.toxicity import toxicity
 from cliptide.llm.url_filter import judge_urls
-from cliptide.llm.warc import archive_pages
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +30,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(table(spark, sf_dir, "pages"))
+    captures = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op9_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": near_dedup.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op9_license_scan": license_scan.oracle(),
+}

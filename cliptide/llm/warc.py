@@ -213,3 +213,14 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     write_archives(records(pages, id_col, url_col, html_col), path)
     runs = scratch.save(read_runs(pages.sparkSession, path))
     return merge_runs(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "archive", "offset", "length")
+
+
+#: The contract's columns in DuckDB.
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS top FROM d WHERE payload_bytes >= {LEAST_BYTES} GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {LEAST_BYTES} AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {LEAST_BYTES} AND page_id <> top THEN top END AS refers_to
+FROM d LEFT JOIN m USING (payload_digest)
+"""
