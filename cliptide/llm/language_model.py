@@ -36,8 +36,8 @@ MU = 8.0
 BITS, PROBES = 9, 6
 #: Filter bytes that are broadcast at a time, and words whose exact counts are.
 FILTER_BYTES, HEAD_WORDS = 256 << 20, 2_000_000
-#: Tokens that a task counts or scores at a time.
-CHUNK = 1 << 20
+#: Tokens that a task scores at a time, and that it counts before it passes them on.
+CHUNK, COUNTED = 1 << 18, 1 << 21
 #: A word can't hold a space.
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
 _STEP, _LEVEL = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -77,41 +77,47 @@ def build_part(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     size = max(64, int(levels.sum()) * BITS + 63 & ~63)
     flags = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        h = hashes[levels >= level]
-        for probe in range(PROBES):
-            flags[_bit(h, level, probe) % np.uint64(size)] = True
+        at, step = _walk(hashes[levels >= level], level)
+        for _ in range(PROBES):
+            flags[_place(at, np.uint64(size))] = True
+            at += step
     return np.packbits(flags, bitorder="little")
 
 
-def _bit(hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
-    return mix64(hashes + np.uint64(_LEVEL * (level * PROBES + probe) % (1 << 64)))
+def _walk(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of an n-gram's level start, and their odd step."""
+    h = mix64(hashes + np.uint64(_LEVEL * level % (1 << 64)))
+    return h, (h * _STEP) | np.uint64(1)
+
+
+def _place(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bit below ``sizes`` (less than 2^32) for 64-bit values, by their upper half."""
+    return (at >> np.uint64(32)) * sizes >> np.uint64(32)
 
 
 class Filter:
-    """Parts of ranges; ranges without a part have no level."""
-
-    def __init__(self, ranges: int, parts: dict[int, bytes]):
-        self.shift = np.uint64(64 - ranges.bit_length() + 1)
-        self.ranges = ranges
-        self.sizes, self.starts = np.zeros(ranges, np.uint64), np.zeros(ranges, np.uint64)
-        at = 0
-        for r in sorted(parts):
-            self.starts[r], self.sizes[r] = at, 8 * len(parts[r])
-            at += 8 * len(parts[r])
-        self.bits = np.frombuffer(b"".join(parts[r] for r in sorted(parts)), np.uint8)
+    """The parts of all ranges in a row, read in place; a range of size 0 has no level."""
+
+    def __init__(self, sizes: list[int], data: bytes):
+        self.ranges = len(sizes)
+        self.shift = np.uint64(64 - self.ranges.bit_length() + 1)
+        self.sizes = 8 * np.array(sizes, np.uint64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bits = np.frombuffer(data, np.uint8)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.uint8)
         part = (hashes >> self.shift).astype(np.int64) if self.ranges > 1 else np.zeros(len(hashes), np.int64)
         live = np.flatnonzero(self.sizes[part] > 0)
+        starts, sizes = self.starts[part[live]], self.sizes[part[live]]
         level = 1
         while len(live):
-            for probe in range(PROBES):
-                h, p = hashes[live], part[live]
-                at = self.starts[p] + _bit(h, level, probe) % self.sizes[p]
-                live = live[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(live):
-                    break
+            at, step = _walk(hashes[live], level)
+            for _ in range(PROBES):
+                bit = starts + _place(at, sizes)
+                hit = (self.bits[(bit >> np.uint64(3)).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                live, at, step, starts, sizes = live[hit], at[hit], step[hit], starts[hit], sizes[hit]
+                at += step
             out[live] = level
             level += 1
         return out
@@ -146,7 +152,7 @@ def _counted(ranges: int):
                 held.append(w)
                 grams.append(pairs_of(w))
                 size += len(w)
-                if size >= 4 * CHUNK:
+                if size >= COUNTED:
                     yield from flush()
                     size = 0
         if size:
@@ -185,10 +191,10 @@ def train(docs: DataFrame, scratch: Scratch, text_col: str) -> tuple[DataFrame,
 
 def _scorer(shared, last: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, words, pairs, head, times, total, distinct = shared.value
+        words, pairs, head, times, total, distinct = shared.value
         z = total + 0.5 * (distinct + 1)
         unknown = np.log10(0.5 / z) if z else 0.0
-        ones, twos = Filter(ranges, words), Filter(ranges, pairs)
+        ones, twos = Filter(*words), Filter(*pairs)
         memo = WordHashes()
         for batch in batches:
             texts, priors = batch.column("text").cast(pa.binary()), batch.column("levels")
@@ -203,7 +209,8 @@ def _scorer(shared, last: bool):
                     hi += 1
                 flat = np.concatenate(tokens)
                 starts = np.cumsum([0, *map(len, tokens)])
-                levels = twos.levels(np.concatenate([pairs_of(t) for t in tokens]))
+                grams, same = np.unique(np.concatenate([pairs_of(t) for t in tokens]), return_inverse=True)
+                levels = twos.levels(grams)[same]
                 prior = [p.as_buffer() if p.is_valid else None for p in priors[lo:hi]]
                 for k, p in enumerate(prior):
                     if p is not None:
@@ -284,10 +291,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for i, keys in enumerate(passes):
         last = i == len(passes) - 1
         wanted = {k for k in keys if k[0] == 2} | (singles if last else set())
-        parts = _parts(model, wanted)
-        shared = spark.sparkContext.broadcast(
-            (ranges, {p: b for (n, p), b in parts.items() if n == 1}, {p: b for (n, p), b in parts.items() if n == 2}, *(head if last else (None, None)), total, distinct)
-        )
+        words, pairs = (_parts(model, ranges, n, {p for m, p in wanted if m == n}) for n in (1, 2))
+        shared = spark.sparkContext.broadcast((words, pairs, *(head if last else (None, None)), total, distinct))
         scored = scratch.save(scored.mapInArrow(_scorer(shared, last), _SCORED if last else "doc_id long, text string, levels binary"))
     z = total + 0.5 * (distinct + 1)
     rest = scored.select("text_key", "rest", "rest_times").dropDuplicates(["text_key"]).select("text_key", F.explode(F.arrays_zip("rest", "rest_times")).alias("r"))
@@ -309,12 +314,12 @@ def _head(vocabulary: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     return words[order], found.column("times").to_numpy()[order]
 
 
-def _parts(model: DataFrame, keys: set[tuple[int, int]]) -> dict[tuple[int, int], bytes]:
-    """At most FILTER_BYTES and the single words' parts."""
-    out = {}
-    for n in (1, 2):
-        wanted = [p for m, p in keys if m == n]
-        if wanted:
-            found = model.filter((F.col("n") == n) & F.col("part").isin(wanted)).select("part", "bits").toArrow()
-            out |= {(n, p): b for p, b in zip(found.column("part").to_pylist(), found.column("bits").to_pylist(), strict=True)}
-    return out
+def _parts(model: DataFrame, ranges: int, n: int, wanted: set[int]) -> tuple[list[int], bytes]:
+    """Bytes of each range's part (0 where it isn't wanted) and the parts in a row."""
+    sizes, buffers = [0] * ranges, []
+    if wanted:
+        found = model.filter((F.col("n") == n) & F.col("part").isin(sorted(wanted))).select("part", "bits").toArrow().sort_by("part")
+        for p, b in zip(found.column("part").to_pylist(), found.column("bits"), strict=True):
+            sizes[p] = len(b.as_buffer())
+            buffers.append(b.as_buffer())
+    return sizes, b"".join(buffers)

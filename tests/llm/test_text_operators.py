@@ -218,7 +218,8 @@ def test_language_model(spark):
 def test_filter_holds_every_count():
     rng = np.random.default_rng(2)
     hashes, counts = rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2), rng.geometric(0.3, 4000)
-    f = language_model.Filter(1, {0: language_model.build_part(hashes, counts).tobytes()})
+    part = language_model.build_part(hashes, counts).tobytes()
+    f = language_model.Filter([len(part)], part)
     levels = f.levels(hashes).astype(int)
     assert (levels >= language_model.level_of(counts)).all() and (levels == language_model.level_of(counts)).mean() > 0.95
     assert (f.levels(hashes + np.uint64(1)) > 0).mean() < 0.04
