@@ -15,7 +15,9 @@ of that length, which is counted in salted parts so that no task holds a length.
 from __future__ import annotations
 
 import bisect
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ END_ID = 1
 #: Picks of the solution at most, and the share of tokens, in the shortest pieces, kept to fill gaps.
 ROUNDS, FILLING = 150, 0.03
 #: Distinct words whose ids a worker remembers before it forgets them all.
-MEMO = 1_000_000
+MEMO = 1_500_000
 #: Parts into which the pieces of one length are dealt for ranking.
 SALTS = 64
 VOCABULARY = "word_bpe_49k.json"
@@ -52,7 +54,10 @@ class WordIds(dict):
         self.encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        found = array("I", self.encode(word.decode(), add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        ids = found.tobytes()
         if len(self) >= MEMO:
             self.clear()
         self[word] = ids
