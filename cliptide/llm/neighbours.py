@@ -6,11 +6,13 @@ Every vector is filed in TABLES tables; a query looks up the PROBES axes nearest
 to it in each. Candidates are reranked by their exact inner product, in blocks:
 a bucket is dealt into blocks of about BLOCK vectors and its queries into blocks
 of about BLOCK queries, so no bucket, however hot, lands in one task, and a
-block returns only the nearest few of each query. A query that finds fewer than
-it could is answered over all vectors.
+block returns only the nearest few of each query.
 
-Largest inner product becomes nearest direction by one more coordinate, which
-lifts all vectors to the norm of the longest; vectors of one norm need none.
+Tables know directions only, and a long vector can be among the nearest at a
+cosine at which buckets seldom meet. So vectors are also dealt into norm ranges:
+where a query's last score found leaves room for a vector of a range whose
+cosine is too small to be met with a chance of SURE, that range is searched
+whole for it. A query that finds fewer than NEAREST searches every range.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from cliptide.llm._common import Scratch
 NEAREST = 20
 TABLES, PROBES, BLOCK = 12, 12, 4096
 ONE_IN = 20
+#: Least chance of a bucket in common at which the tables are relied on.
+SURE = 0.95
+#: Norm ranges at most, STEPS to a factor of two; the last one also holds all shorter vectors.
+RANGES, STEPS = 128, 4
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -57,17 +63,29 @@ def nearest_axes(x: np.ndarray, table: int, n: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :n]
 
 
-def lifted(x: np.ndarray, longest: float, lift: bool, query: bool) -> np.ndarray:
+def directions(x: np.ndarray) -> np.ndarray:
     """Unit vectors, padded to a power of two."""
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    if query or not lift:
-        out, extra = x / norm, np.zeros((len(x), 1))
-    else:
-        out, extra = x / longest, np.sqrt(np.maximum(0.0, 1 - np.square(norm / longest)))
-    if lift:
-        out = np.concatenate([out, extra], axis=1)
-    width = max(2, 1 << (out.shape[1] - 1).bit_length())
-    return np.pad(out, ((0, 0), (0, width - out.shape[1])))
+    return np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, padded(x.shape[1]) - x.shape[1])))
+
+
+def padded(width: int) -> int:
+    return max(2, 1 << (width - 1).bit_length())
+
+
+def least_cosine(width: int) -> float:
+    """The smallest cosine of a query and a vector that share a bucket with a chance of SURE, by simulation."""
+    rng = np.random.default_rng(999)
+    width = padded(width)
+    n = max(256, min(4096, (1 << 20) // width))
+    u, v = directions(rng.standard_normal((n, width))), rng.standard_normal((n, width))
+    v = directions(v - (u * v).sum(axis=1, keepdims=True) * u)
+    probed = nearest_axes(u, 0, min(PROBES, 2 * width))
+    low, high = 0.0, 1.0
+    for _ in range(12):
+        mid = (low + high) / 2
+        met = (nearest_axes(mid * u + np.sqrt(1 - mid * mid) * v, 0, 1) == probed).any(axis=1).mean()
+        low, high = (mid, high) if 1 - (1 - met) ** TABLES < SURE else (low, mid)
+    return high
 
 
 def usable(vector: Column) -> Column:
@@ -79,7 +97,7 @@ def usable(vector: Column) -> Column:
 _FILED = "id long, vector array<double>, tables array<int>, buckets array<int>"
 
 
-def filed(rows: DataFrame, longest: float, lift: bool, probes: int) -> DataFrame:
+def filed(rows: DataFrame, probes: int) -> DataFrame:
     """(id, vector) -> one row for each table and probe."""
 
     def axes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +106,7 @@ def filed(rows: DataFrame, longest: float, lift: bool, probes: int) -> DataFrame
             if not n:
                 continue
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            x = lifted(x, longest, lift, probes > 1)
+            x = directions(x)
             each = min(probes, 2 * x.shape[1])
             found = np.stack([nearest_axes(x, t, each) for t in range(TABLES)], axis=1).reshape(n, -1)
             ends = pa.array(np.arange(n + 1, dtype=np.int32) * TABLES * each)
@@ -163,24 +181,27 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = scratch.save(rows.filter(F.col("id").isNotNull() & usable(F.col("vector"))), "lz4")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    shape = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("high"), F.min(norm).alias("low"))
+    shape = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("high"))
     shape = shape.orderBy(F.desc("n"), "width").limit(1).collect()
     if not shape:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, n, high, low = shape[0]["width"], shape[0]["n"], shape[0]["high"], shape[0]["low"]
+    width, high = shape[0]["width"], shape[0]["high"]
     rows = rows.filter(F.size("vector") == width)
     asked = scratch.save(rows.filter(F.col("id") % one_in == 0).groupBy("id").agg(F.min("vector").alias("vector")), "lz4")
-    lift = high - low > 1e-6 * high
-    keys = ["tables", "buckets"]
-    found = blockwise(filed(rows, high, lift, 1), filed(asked, high, lift, PROBES), keys, scratch)
+    found = blockwise(filed(rows, 1), filed(asked, PROBES), ["tables", "buckets"], scratch)
     top = scratch.save(ranked(_best_vector(found)).select(*_COLUMNS))
-    counts = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
-    ids = rows.select("id").distinct().limit(NEAREST + 1).count()
-    short = asked.join(counts, F.col("id") == F.col("query_id"), "left").filter(F.coalesce("k", F.lit(0)) < min(NEAREST, ids - 1)).select("id", "vector")
-    if not short.isEmpty():
-        everything = blockwise(rows.withColumn("whole", F.lit(0)), short.withColumn("whole", F.lit(0)), ["whole"], scratch)
-        rest = ranked(_best_vector(everything))
-        top = top.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(*_COLUMNS).union(rest.select(*_COLUMNS))
+    ranges = rows.withColumn("norm", norm).withColumn("range", F.least(F.lit(RANGES - 1), F.floor(STEPS * F.log2(F.lit(high) / F.col("norm")))).cast("int"))
+    # At most RANGES rows.
+    longest = ranges.groupBy("range").agg(F.max("norm").alias("norm")).collect()
+    lasts = top.filter(F.col("rank") == NEAREST).select("query_id", F.col("score").alias("last"))
+    cosine = least_cosine(width)
+    bounds = F.array(*[F.struct(F.lit(r["range"]).alias("range"), F.lit(r["norm"]).alias("norm")) for r in longest])
+    open_ = F.filter(bounds, lambda b: F.coalesce(F.col("last") < F.col("norm") * b["norm"] * cosine, F.lit(True)))
+    asks = asked.withColumn("norm", norm).join(lasts, F.col("id") == F.col("query_id"), "left")
+    whole = scratch.save(asks.select("id", "vector", F.explode(F.transform(open_, lambda b: b["range"])).alias("range")), "lz4")
+    if not whole.isEmpty():
+        rest = blockwise(ranges.select("id", "vector", "range"), whole, ["range"], scratch)
+        top = ranked(_best_vector(rest.unionByName(top.select("query_id", "vec_id", "score")))).select(*_COLUMNS)
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -176,6 +176,25 @@ def test_neighbours(spark, norms):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("spread", ["one outlier", "wide"])
+def test_neighbours_of_uneven_norms(spark, spread):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((25, 64))
+    x = np.repeat(centres, 40, axis=0) + 0.9 * rng.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.exp(rng.normal(0, 1, (1000, 1))) if spread == "wide" else np.where(np.arange(1000) == 7, 3.0, 1.0)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = defaultdict(set)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 1000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.95 * 20 * 50
+
+
 def test_url_rules(spark):
     cases = [
         (None, "", "", None, None), ("", "", "", None, None), ("nohost", "", "", None, None), ("http://NET/x", "net", "/x", "net/", "block"), ("http://net", "net", "", None, None),
