@@ -3,9 +3,11 @@
 A configuration says how many pieces of each length share one sequence. The
 program asks for the fewest sequences that hold the histogram of lengths. It is
 solved by multiplicative weights: lengths still short of their count weigh more,
-a knapsack over the sequence's tokens (dynamic programming) prices them into the
-best configuration, and the average of many such picks approaches the optimum.
-The solution is rounded down, and what is left is packed best fit, longest first.
+and a knapsack over the sequence's tokens (dynamic programming) prices them into
+configurations, the best one through each length. A pick is used as far as the
+scarcest of its lengths allows, and picks go on until the solution is within GAP
+of the bound that the same prices prove. It is rounded down, then up while pieces
+last, and what is left is packed best fit, longest first.
 
 The program sees the histogram alone, at most CAPACITY numbers whatever the
 corpus holds. A piece's place follows from its length and its rank among pieces
@@ -31,8 +33,10 @@ from cliptide.llm._common import Scratch, lower_words
 
 CAPACITY = 4096
 END_ID = 1
-#: Picks of the solution at most, and the share of tokens, in the shortest pieces, kept to fill gaps.
-ROUNDS, FILLING = 150, 0.03
+#: How far the fractional solution may be above the linear program's bound.
+GAP = 0.05
+#: The share of tokens, in the shortest pieces, kept to fill gaps.
+FILLING = 0.03
 #: Distinct words whose ids a worker remembers before it forgets them all.
 MEMO = 1_500_000
 #: Parts into which the pieces of one length are dealt for ranking.
@@ -90,36 +94,27 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
     return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(weight: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths (with repeats) of the largest weight that fits."""
-    value = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        n = np.searchsorted(lengths, room, side="right")
-        if n:
-            gain = weight[:n] + value[room - lengths[:n]]
-            best = int(gain.argmax())
-            if gain[best] > value[room - 1]:
-                value[room], pick[room] = gain[best], best
-                continue
+def knapsack(weight: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room the largest weight of lengths (with repeats) that fit, and the length to take first (0: leave a token)."""
+    low = int(lengths[0])
+    dense = np.full(capacity + 1, -1.0)
+    dense[lengths] = weight
+    value, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
+    for room in range(low, capacity + 1):
+        gain = dense[low : room + 1] + value[room - low :: -1]
+        best = int(gain.argmax())
         value[room] = value[room - 1]
-    out: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if pick[room] < 0:
-            room -= 1
-            continue
-        length = int(lengths[pick[room]])
-        out[length] = out.get(length, 0) + 1
-        room -= length
-    return out
-
-
-def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+        if gain[best] > value[room]:
+            value[room], pick[room] = gain[best], best + low
+    return value, pick
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(configuration as ((length, times), ...), sequences)], which holds ``counts`` exactly.
 
-    The shortest pieces stay out of the program: with what rounding down leaves,
-    they go best fit into the room of the chosen configurations and into new sequences.
+    The shortest pieces stay out of the program: with what rounding leaves, they
+    go best fit into the room of the chosen configurations and into new sequences.
+    Best fit alone is taken where it needs fewer.
     """
     left = {k: v for k, v in counts.items() if v > 0}
     total, held, filling = sum(k * v for k, v in left.items()), 0, {}
@@ -128,39 +123,77 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS
         if held > FILLING * total:
             break
         filling[k] = left.pop(k)
-    goal = sum(k * v for k, v in left.items()) / capacity
-    plan: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    if left:
-        picks = fractional(left, capacity, goal, max(1, min(rounds, int(goal))))
-        for key, share in sorted(picks.items(), key=lambda kv: (-kv[1], kv[0])):
-            n = min(int(share + 1e-9), *(left[k] // t for k, t in key))
+    plan = rounded(left, capacity, gap) if left else []
+    for config, n in plan:
+        for k, t in config:
+            left[k] -= t * n
+    return min(best_fit(left | filling, capacity, plan), best_fit(counts, capacity), key=lambda p: sum(n for _, n in p))
+
+
+def rounded(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Whole sequences of the fractional solution, of no more pieces than there are."""
+    left = dict(counts)
+    picks, bound = fractional(counts, capacity, gap)
+    # Rounding up wastes no more room than the program itself does, but for SLACK.
+    full = (1 - SLACK) * sum(k * v for k, v in counts.items()) / bound
+    order = sorted(picks.items(), key=lambda kv: (-kv[1], kv[0]))
+    plan: dict[tuple[tuple[int, int], ...], int] = {}
+    for up in (0, 1):
+        for key, share in order:
+            if up and sum(k * t for k, t in key) < full:
+                continue
+            n = min(1 if up else int(share + 1e-9), *(left[k] // t for k, t in key))
             if n > 0:
-                plan.append((key, n))
+                plan[key] = plan.get(key, 0) + n
                 for k, t in key:
                     left[k] -= t * n
-    return best_fit(left | filling, capacity, plan)
+    return list(plan.items())
 
 
-def fractional(counts: dict[int, int], capacity: int, goal: float, rounds: int) -> dict[tuple[tuple[int, int], ...], float]:
-    """configuration -> share of ``goal`` sequences, by ``rounds`` picks of multiplicative weights."""
+def fractional(counts: dict[int, int], capacity: int, gap: float) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """(configuration -> sequences, bound): a covering of ``counts`` by at most 1 + ``gap`` times the bound,
+    which no packing beats."""
     lengths = np.array(sorted(counts))
     need = np.array([counts[k] for k in lengths.tolist()], float)
-    covered = np.zeros(len(lengths))
-    place = {k: i for i, k in enumerate(lengths.tolist())}
-    step = goal / rounds
+    place = np.zeros(capacity + 1, int)
+    place[lengths] = np.arange(len(lengths))
+    covered, total, bound = np.zeros(len(lengths)), 0.0, float(need @ lengths) / capacity
     picks: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        # A length's weight falls as the picks so far cover more of its count.
+    while True:
+        # A length's weight, first its tokens, falls as the picks so far cover more of its count.
         ratio = covered / need
-        config = best_configuration(np.exp(-RATE * (ratio - ratio.min())) / need, lengths, capacity)
-        covered[[place[k] for k in config]] += step * np.array(list(config.values()), float)
-        key = tuple(sorted(config.items(), reverse=True))
-        picks[key] = picks.get(key, 0.0) + step
-    return picks
-
-
-#: How sharply weights fall with a length's coverage.
-RATE = 12.0
+        low = ratio.min()
+        weight = lengths * np.exp(-RATE / np.sqrt(max(1.0, low)) * (ratio - low))
+        value, pick = knapsack(weight, lengths, capacity)
+        bound = max(bound, float(need @ weight) / value[capacity])
+        if low > 0 and total <= (1 + gap) * bound * low:
+            return {key: n / low for key, n in picks.items()}, bound
+        # What this round may add to each length.
+        allowed = STEP * need
+        through = weight + value[capacity - lengths]
+        order = np.argsort(-weight, kind="stable")
+        for i in order[through[order] >= (1 - SLACK) * value[capacity]].tolist():
+            config, room, k = {}, capacity, int(lengths[i])
+            while k and allowed[place[k]] > 1e-9 * need[place[k]]:
+                config[k] = config.get(k, 0) + 1
+                room -= k
+                while room and not pick[room]:
+                    room -= 1
+                k = int(pick[room])
+            if k:
+                continue
+            at, times = place[list(config)], np.array(list(config.values()), float)
+            n = float((allowed[at] / times).min())
+            allowed[at] -= n * times
+            covered[at] += n * times
+            total += n
+            key = tuple(sorted(config.items(), reverse=True))
+            picks[key] = picks.get(key, 0.0) + n
+
+
+#: How sharply weights fall with a length's coverage, the share of a count that a round may add,
+#: and how far below the best configuration a pick may weigh.
+RATE, STEP, SLACK = 4.0, 0.25, 0.01
 
 
 def best_fit(counts: dict[int, int], capacity: int, plan: list[tuple[tuple[tuple[int, int], ...], int]] = ()) -> list[tuple[tuple[tuple[int, int], ...], int]]:

@@ -61,6 +61,21 @@ def test_plans_hold_every_piece(seed):
     assert packing.solve({}) == []
 
 
+@pytest.mark.parametrize("pieces", [400, 4000])
+def test_program_packs_what_best_fit_cannot(pieces):
+    rng = random.Random(pieces)
+    counts = Counter(rng.randint(120, 480) for _ in range(pieces))
+    plan = packing.solve(dict(counts), capacity=1000)
+    held = Counter()
+    for config, n in plan:
+        assert sum(k * t for k, t in config) <= 1000
+        for k, t in config:
+            held[k] += t * n
+    assert held == counts
+    least = -(-sum(k * v for k, v in counts.items()) // 1000)
+    assert sum(n for _, n in plan) <= 1.015 * least
+
+
 PAGES = "page_id long, url string, html string, digest string, bytes int"
 
 
