@@ -4,7 +4,7 @@ Everything over the pages is DataFrame expressions. The trees are trained on
 URLs that a rule decides, from their lexical features: length, depth, digit
 ratio, character entropy, parameter counts and statistics of the host's suffix.
 Training takes at most SAMPLE labelled URLs (the ones of smallest hash; a
-documented bound), brings their binned features to the driver once, and turns
+documented bound; the suffix statistics are of all of them), brings their binned features to the driver once, and turns
 the trees into one CASE expression.
 """
 
@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cliptide.llm._common import Scratch
+
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Labelled URLs that the trees learn from, at most.
@@ -130,35 +132,27 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url")
     """page_id, host, path, rule, verdict, score: one row per input row.
 
     score is the trees' log odds of block; it decides where no rule fits (0 and
-    above: block). suffix_share is the share of the suffix's labelled sample URLs
-    that rules block, 0.5 where there is none. Null URLs have empty host and
+    above: block). suffix_share is the share of the suffix's labelled URLs, all
+    of them, that rules block, 0.5 where there is none. Null URLs have empty host and
     path, fit no rule and are judged by the trees. Without any labelled URL all
     others are allowed. Repeated rows get equal results; extra columns are
     ignored; an empty table gives no rows.
     """
     rows = featured(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")), "url")
     plain = [f for f in FEATURES if f != "suffix_share"]
+    blocked = F.sum((F.col("__given") == "block").cast("int"))
+    shares = rows.filter("__given IS NOT NULL").groupBy(F.col("__suffix").alias("__of")).agg(((blocked + 1) / (F.count(F.lit(1)) + 2)).alias("__f_suffix_share"))
+    shares = Scratch(pages.sparkSession, "url_filter").save(shares)
     sample = rows.filter("__given IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(SAMPLE).select(
         "__suffix", (F.col("__given") == "block").cast("int").alias("__y"), *[f"__f_{f}" for f in plain]
-    ).collect()
+    )
+    sample = sample.join(shares, F.col("__suffix") == F.col("__of")).collect()
     y = np.array([r["__y"] for r in sample], float)
-    seen: dict[str, list[float]] = {}
-    for r in sample:
-        seen.setdefault(r["__suffix"], []).append(r["__y"])
-    # The sample bounds the number of suffixes; rare ones say nothing and stay at 0.5.
-    shares = {k: (sum(v) + 1) / (len(v) + 2) for k, v in sorted(seen.items(), key=lambda kv: (-len(kv[1]), kv[0]))[:SUFFIXES]}
-    x = np.array([[shares.get(r["__suffix"], 0.5) if f == "suffix_share" else r[f"__f_{f}"] for f in FEATURES] for r in sample]).reshape(len(sample), len(FEATURES))
+    x = np.array([[r[f"__f_{f}"] for f in FEATURES] for r in sample], float).reshape(len(sample), len(FEATURES))
     start, trees, edges = boost(x, y)
-    share = F.lit(0.5)
-    if shares:
-        share = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in shares.items() for v in kv]), F.col("__suffix")), F.lit(0.5))
     score = F.lit(start if trees else -1.0)
     for tree in trees:
         score = score + F.lit(RATE) * as_column(tree, edges)
-    judged = rows.withColumn("__f_suffix_share", share).withColumn("score", score)
+    judged = rows.join(shares, F.col("__suffix") == F.col("__of"), "left").withColumn("__f_suffix_share", F.coalesce("__f_suffix_share", F.lit(0.5))).withColumn("score", score)
     verdict = F.coalesce("__given", F.when(F.col("score") >= 0, "block").otherwise("allow"))
     return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"), "score")
-
-
-#: Suffixes with statistics, the most frequent in the sample.
-SUFFIXES = 256

@@ -225,6 +225,15 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(rows.limit(0)).count() == 0
 
 
+def test_every_suffix_has_its_statistics(spark, monkeypatch):
+    # 300 suffixes of one length, each of them blocked or allowed throughout.
+    monkeypatch.setattr(url_filter.matching_rule, "__defaults__", ((("com", "/r/", "block"), ("com", "/s/", "allow")),))
+    urls = [(i, f"http://d{i}.com/{'sr'[i % 2]}/{j}") for i in range(100, 400) for j in range(6)] + [(i, f"http://d{i}.com/q/7") for i in range(100, 400)]
+    rows = spark.createDataFrame([(i, u, "x") for i, u in urls], "page_id long, url string, host string")
+    loose = url_filter.judge_urls(rows).filter("rule IS NULL").collect()
+    assert len(loose) == 300 and all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in loose)
+
+
 def test_trees_score_alike_in_numpy_and_sql(spark):
     rng = np.random.default_rng(7)
     x = rng.integers(0, 30, (500, len(url_filter.FEATURES))).astype(float)
