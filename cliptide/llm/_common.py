@@ -5,14 +5,19 @@ from __future__ import annotations
 import atexit
 import shutil
 import string
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Lower-cases A-Z and nothing else, on UTF-8 bytes.
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 #: ``bytes.split()`` without arguments cuts at exactly these: space and \x09-\x0D.
@@ -71,6 +76,15 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def per_worker(name: str, make: Callable[[], T]) -> T:
+    """A value that lives as long as its Python worker, for all tasks that run there. Only for
+    what any task may make anew: a memo of a pure function."""
+    held = sys.__dict__.setdefault("_cliptide_held", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 class WordHashes(dict):
     """word (bytes) -> its 64-bit hash; forgets everything beyond MEMO_WORDS."""
 

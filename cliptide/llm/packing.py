@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents by a configuration linear program.
 
 A configuration says how many pieces of each length share one sequence. The
-program asks for the fewest sequences that hold the histogram of lengths. It is
+program asks for the fewest sequences that hold the whole histogram of lengths. It is
 solved by multiplicative weights: lengths still short of their count weigh more,
 and a knapsack over the sequence's tokens (dynamic programming) prices them into
 configurations, the best one through each length. A pick is used as far as the
@@ -10,81 +10,139 @@ of the bound that the same prices prove. It is rounded down, then up while piece
 last, and what is left is packed best fit, longest first.
 
 The program sees the histogram alone, at most CAPACITY numbers whatever the
-corpus holds. A piece's place follows from its length and its rank among pieces
-of that length, which is counted in salted parts so that no task holds a length.
+corpus holds, and so its solution has a bounded number of configurations. A
+piece's place follows from its length and its rank among pieces of that length,
+which is counted in parts of about PART pieces so that no task holds a length.
 """
 
 from __future__ import annotations
 
 import bisect
-import sys
+import string
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cliptide.llm._common import Scratch, lower_words
+from cliptide.llm._common import Scratch, per_worker
 
 CAPACITY = 4096
 END_ID = 1
 #: How far the fractional solution may be above the linear program's bound.
 GAP = 0.05
-#: The share of tokens, in the shortest pieces, kept to fill gaps.
-FILLING = 0.03
-#: Distinct words whose ids a worker remembers before it forgets them all.
-MEMO = 1_500_000
-#: Parts into which the pieces of one length are dealt for ranking.
-SALTS = 64
+#: Distinct words whose ids a worker remembers before it forgets them all, and bytes of text it cuts at a time.
+MEMO, CHUNK = 1_500_000, 32 << 20
+#: Pieces of one length that are ranked together, about.
+PART = 250_000
 VOCABULARY = "word_bpe_49k.json"
+#: ASCII punctuation at a word's end that the vocabulary's rules never join to a letter before it;
+#: the apostrophe, which may begin a contraction, is left out.
+TAIL = "".join(c for c in string.punctuation if c != "'")
+LETTERS = [c.encode() for c in string.ascii_lowercase]
+#: Both added tokens hold this; they match raw text only.
+ADDED = "<|"
 
 
-class WordIds(dict):
-    """word (UTF-8) -> its token ids as little-endian 32-bit bytes; forgets everything beyond MEMO.
+class WordIds:
+    """Token ids of whole texts, by way of their distinct words.
 
     The vocabulary's rules never look across white space and lower-case the text
     first, so a text's ids are its words' ids in a row. Only the six ASCII spaces
     cut here; what else the tokenizer takes for space stays inside a word and is
-    left to it.
+    left to it. A lower-cased word's punctuation behind an ASCII letter is a
+    token of its own, so the word up to there, its stem, and the rest are looked
+    up apart. Added tokens match text as it stands: a word that may hold one goes
+    to the tokenizer whole and unchanged.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = array("I", self.encode(word.decode(), add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            found.byteswap()
-        ids = found.tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = ids
-        return ids
-
-
-def token_bytes(text: bytes | None, ids: WordIds, end: bytes) -> bytes:
-    return b"".join([*map(ids.__getitem__, lower_words(text)), end])
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            found = self.known[word] = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's begin and the last one's end). A null text has none."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        raw = words.dictionary
+        # Punctuation without a letter before it is left where it is, as is a word with an added token.
+        lower = pc.ascii_lower(raw)
+        stems = pc.ascii_rtrim(lower, TAIL)
+        whole = pc.or_(pc.match_substring(raw, ADDED), pc.invert(pc.is_in(pc.binary_slice(stems.cast(pa.large_binary()), -1), pa.array(LETTERS, pa.large_binary()))))
+        special = pc.match_substring(raw, ADDED)
+        stems = pc.if_else(whole, pc.if_else(special, raw, lower), stems)
+        tails = np.flatnonzero((pc.binary_length(lower).to_numpy() > pc.binary_length(stems).to_numpy()))
+        stems = stems.dictionary_encode()
+        stem_ids = Ragged([self.ids(w) for w in stems.dictionary.to_pylist()])
+        tail_ids = [b""] * len(raw)
+        for i, w, n in zip(tails.tolist(), lower.take(tails).to_pylist(), pc.utf8_length(stems.dictionary).take(stems.indices.take(tails)).to_pylist(), strict=True):
+            tail_ids[i] = self.ids(w[n:])
+        both = np.empty(2 * len(raw), np.int64)
+        both[0::2], both[1::2] = stems.indices.to_numpy(), len(stems.dictionary) + np.arange(len(raw))
+        flat, ends = (stem_ids + Ragged(tail_ids)).take(both)
+        word_ids = Ragged(flat=flat, ends=ends[1::2])
+        flat, ends = word_ids.take(words.indices.to_numpy())
+        return flat, np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+
+class Ragged:
+    """Arrays of 32-bit ids in a row."""
+
+    def __init__(self, parts: list[bytes] = (), flat: np.ndarray | None = None, ends: np.ndarray | None = None):
+        self.flat = np.frombuffer(b"".join(parts), "<u4") if flat is None else flat
+        self.ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4) if ends is None else ends
+
+    def __add__(self, other: Ragged) -> Ragged:
+        return Ragged(flat=np.concatenate([self.flat, other.flat]), ends=np.concatenate([self.ends, len(self.flat) + other.ends]))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the arrays of numbers ``at`` in a row, where each ends)."""
+        starts = np.append(0, self.ends[:-1])[at] if len(at) else np.empty(0, np.int64)
+        sizes = self.ends[at] - starts
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def parts_of(texts: pa.StringArray, most: int = CHUNK) -> Iterator[pa.StringArray]:
+    """Slices of about ``most`` bytes; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most, side="right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(vocabulary)
+        words = per_worker(f"word ids {vocabulary}", lambda: WordIds(vocabulary))
         for batch in batches:
             rows: list[tuple] = []
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
-                raw = token_bytes(text.as_py(), ids, end)
-                for k, lo in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[lo : lo + 4 * capacity]
-                    rows.append((i, k, lo // 4, len(part) // 4, zlib.crc32(part)))
+            i = 0
+            for texts in parts_of(batch.column(1)):
+                flat, ends = words(texts)
+                raw = memoryview(np.insert(flat, ends[1:], end_id).astype("<u4")).cast("B")
+                stops = (ends[1:] + np.arange(1, len(ends))).tolist()
+                for lo, hi in zip([0, *stops], stops, strict=False):
+                    for k, at in enumerate(range(lo, hi, capacity)):
+                        stop = min(hi, at + capacity)
+                        rows.append((i, k, at - lo, stop - at, zlib.crc32(raw[4 * at : 4 * stop])))
+                    i += 1
             at, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)],
@@ -112,22 +170,15 @@ def knapsack(weight: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np
 def solve(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(configuration as ((length, times), ...), sequences)], which holds ``counts`` exactly.
 
-    The shortest pieces stay out of the program: with what rounding leaves, they
-    go best fit into the room of the chosen configurations and into new sequences.
-    Best fit alone is taken where it needs fewer.
+    What rounding leaves goes best fit into the room of the chosen configurations
+    and into new sequences. Best fit alone is taken where it needs fewer.
     """
     left = {k: v for k, v in counts.items() if v > 0}
-    total, held, filling = sum(k * v for k, v in left.items()), 0, {}
-    for k in sorted(left):
-        held += k * left[k]
-        if held > FILLING * total:
-            break
-        filling[k] = left.pop(k)
     plan = rounded(left, capacity, gap) if left else []
     for config, n in plan:
         for k, t in config:
             left[k] -= t * n
-    return min(best_fit(left | filling, capacity, plan), best_fit(counts, capacity), key=lambda p: sum(n for _, n in p))
+    return min(best_fit(left, capacity, plan), best_fit(counts, capacity), key=lambda p: sum(n for _, n in p))
 
 
 def rounded(counts: dict[int, int], capacity: int, gap: float) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -259,13 +310,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = scratch.save(pieces_of(rows, vocabulary or public_tokenizers.path(VOCABULARY), capacity))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    # One number for each length: at most ``capacity`` rows.
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    dealt = F.get(F.lit([1 + counts.get(k, 0) // PART for k in range(capacity + 1)]), F.col("length").cast("int"))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), dealt))
     parts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = scratch.save(parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))))
-    # One number for each length: at most ``capacity`` rows.
-    counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
-    table = spark.sparkContext.broadcast(places(solve(counts, capacity)))
+    slots = places(solve(counts, capacity))
+    table = spark.sparkContext.broadcast(slots)
     within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
     starts = parts.select(F.col("length").alias("__l"), F.col("__salt").alias("__s"), "__before")
     ranked = salted.withColumn("__at", F.row_number().over(within) - 1).join(

@@ -24,7 +24,8 @@ def frame(spark, rows):
 def test_packing_round_trip(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choices(["Alpha", "beta,", "γάμμα", "delta's", "e\x0bf"], k=rng.choice([3, 40, 300, 900]))) for _ in range(60)]
-    texts += [None, "", "word " * 9000, "<|endoftext|> x", "a\u00a0b\u2003c", texts[0], texts[0]]
+    texts += [None, "", "word " * 9000, "<|endoftext|> x", "a\u00a0b\u2003c", texts[0], texts[0], "see <|ENDOFTEXT|> here <|StartOfText|>.", "y<|endoftext|>z <|startoftext|>,"]
+    texts += ["O'Neil's. don't. x.'s x'S. he'll,we're ...'d", "\u00e9. \u00e9's \u00c9. \u65e5\u672c\u3002 a_b_ 3.14. 3. a3. e\u0301. \u0301.", "\u0391\u03a3. a\u03a3. STRASSE! \t  "]
     rows = [(i % 65, t, "s") for i, t in enumerate(texts)] + [(None, "loose", "s")]
     got = packing.pack(frame(spark, rows)).collect()
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
