@@ -8,10 +8,11 @@ import string
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +25,18 @@ LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct words a worker remembers before it forgets them all.
 MEMO_WORDS = 400_000
+#: A key is hot above this many rows and above one in HOT_PARTS of them.
+HOT_LEAST, HOT_PARTS = 200, 1024
+BLOOM_BYTES = 32 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; where none is named (tests), a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = spark.sparkContext.getCheckpointDir()
+    """The shared folder the cluster names. Where none is named, a local session gets a folder of
+    its own; a cluster can't do without, as its executors share no local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="cliptide-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -116,3 +121,80 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has each key once, where few keys may hold much of ``left``.
+
+    A key that holds more than HOT_LEAST rows and one in HOT_PARTS of them all is
+    dealt into parts of that size by a hash of its rows, and its row of ``right``
+    goes to each. There are at most HOT_PARTS such keys, so their list is small.
+    ``left`` is read twice: give it a table.
+    """
+    counts = left.groupBy(on).count()
+    total = left.count()
+    least = max(HOT_LEAST, total // HOT_PARTS)
+    hot = counts.filter(F.col("count") > least).select(F.col(on).alias("__hot"), F.ceil(F.col("count") / least).cast("int").alias("__parts"))
+    if total <= least or hot.isEmpty():
+        return left.join(right.hint("merge"), on, how)
+    hot = F.broadcast(hot.coalesce(1))
+    dealt = left.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__parts")), F.lit(0)).cast("int"))
+    copies = right.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1)))
+    return dealt.drop("__hot", "__parts").join(copies.drop("__hot", "__parts").hint("merge"), [on, "__part"], how).drop("__part")
+
+
+class Bloom:
+    """A Bloom filter of the numbers in one column, of at most BLOOM_BYTES whatever their count.
+
+    It is for leaving rows out before a shuffle whose join decides: with more
+    numbers than it was meant for it only lets more rows pass. All probes of a
+    number lie in one block, and each block is built in a task of its own.
+    """
+
+    def __init__(self, df: DataFrame, column: str):
+        wanted = 16 * max(1, df.count())
+        self.shift = 64 - max(1, min((BLOOM_BYTES // 8192).bit_length() - 1, (wanted >> 16).bit_length()))
+        blocks = df.select(F.col(column).cast("long").alias("v")).filter("v IS NOT NULL").mapInArrow(self._placed(), "block int, v long")
+        found = blocks.groupBy("block").applyInArrow(self._built(), "block int, bits binary").toArrow()
+        bits = np.zeros((1 << 64 - self.shift, 8192), np.uint8)
+        for block, b in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
+            bits[block] = np.frombuffer(b, np.uint8)
+        self.shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def _placed(self):
+        shift = self.shift
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                block, _ = _probes(batch.column(0).to_numpy(), shift)
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), batch.column(0)], ["block", "v"])
+
+        return placed
+
+    def _built(self):
+        shift = self.shift
+
+        def built(table: pa.Table) -> pa.Table:
+            flags = np.zeros(1 << 16, bool)
+            _, probes = _probes(table.column("v").to_numpy(), shift)
+            flags[probes.ravel()] = True
+            return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+        return built
+
+    def test(self):
+        """A function for workers: which of an array's numbers may be in."""
+        shift, shared = self.shift, self.shared
+
+        def among(values: np.ndarray) -> np.ndarray:
+            block, probes = _probes(values, shift)
+            return ((shared.value[block, probes >> 3] >> (probes & 7).astype(np.uint8)) & 1).all(axis=0)
+
+        return among
+
+
+def _probes(values: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each number and its four bits there."""
+    h = mix64(values.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B0929F9A5))
+    g = mix64(h * np.uint64(0x9E3779B97F4A7C15))
+    return (h >> np.uint64(shift)).astype(np.int64), np.stack([(g >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in range(4)]).astype(np.int64)

@@ -7,19 +7,21 @@ Steps, each a distributed table:
    odd sketch: a 512-bit bitmap in which each sample flips one bit. Equal samples
    cancel, so the bits by which two sketches differ estimate how many samples
    differ, most precisely when few do.
-2. Texts of one set are one class. From here on classes stand for their copies.
-3. Classes that share a band meet in its bucket. A few star rounds compare one
-   member of a bucket (another in each round) with the members that are not yet
-   in its component: a group of n near copies costs n comparisons a round, not
-   n * n. What then still differs inside a bucket is compared pair by pair, so
-   no link between components goes missing; there finer odd sketches (8192 bits
-   of 2048 samples) leave only pairs close to the threshold or above it, and a
-   pair is taken up in one of the buckets it shares.
-4. A pair whose sketches differ by more than a pair at the threshold would
-   (SIGMAS deviations beyond the mean) is dropped; all others are decided on
-   their full sets.
+2. Texts of one set are one class. From here on classes, numbered nodes, stand for
+   their copies. Bands that one class has alone are left out before any join.
+3. Classes that share a band meet in its bucket, as (band, node) alone. In each star
+   round a bucket's hub (another in each round) meets those members that are not yet
+   in its component: a group of n near copies costs n pairs a round, not n * n.
+   Distinct pairs get their sketches; pairs that differ by more bits than a pair at
+   the threshold would (SIGMAS deviations beyond the mean) go; the rest is decided
+   on full sets.
+4. Buckets that then still hold several components are finished by their members'
+   rarest shingles: two sets at the threshold share one of the rarest quarter of
+   theirs, whatever the order, so members of one bucket that have only a common
+   passage between them no longer meet. Pairs that do meet go the way of step 3.
 5. Components come from label spreading over the confirmed links.
 
+Nodes that many rows name (hubs, common bands, repeated texts) are dealt over tasks.
 A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 =
 5e-6; above the threshold this falls fast.
 """
@@ -29,13 +31,15 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cliptide.llm._common import Scratch, WordHashes, lower_words, mix64
+from cliptide.llm._common import HOT_LEAST, Bloom, Scratch, WordHashes, hot_join, lower_words, mix64
 from cliptide.llm.components import connected_components
 
 SHINGLE = 5
@@ -43,18 +47,15 @@ NUM, DEN = 75, 100
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-#: Samples and bits of the fine sketches, made only for classes left after the star rounds.
-FINE_SAMPLES, FINE_BITS = 2048, 8192
 SIGMAS = 4.5
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Counters that put shingles in order from rare to frequent; equal counts fall back on the hash.
+COUNTERS = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _MULT = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _PLUS = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)[:, None]
 _SALT = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-_FINE_MULT = (_rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_FINE_PLUS = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32)[:, None]
-_FINE_SALT = _rng.integers(0, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,14 +108,14 @@ def most_flips(n: int = SKETCH_BITS, k: int = SAMPLES, similarity: float = NUM /
     return math.ceil(mean + SIGMAS * spread)
 
 
-_FEATURES = "doc_id long, digest binary, n_shingles long, keys array<long>, sketch array<long>"
+_FEATURES = "doc_id long, row long, digest binary, n_shingles long, keys array<long>, sketch array<long>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         digests, sizes, keys, sketches = [], [], [], []
-        for text in batch.column(1).cast(pa.binary()):
+        for text in batch.column(2).cast(pa.binary()):
             s = shingle_set(lower_words(text.as_py()), hashes)
             sizes.append(len(s))
             digests.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
@@ -126,8 +127,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(np.empty(0, np.int64))
                 sketches.append(np.empty(0, np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(sketches)],
-            ["doc_id", "digest", "n_shingles", "keys", "sketch"],
+            [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(sketches)],
+            ["doc_id", "row", "digest", "n_shingles", "keys", "sketch"],
         )
 
 
@@ -136,124 +137,226 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        out: list[tuple[bytes, bytes]] = []
-        for text in batch.column(0).cast(pa.binary()):
-            s = shingle_set(lower_words(text.as_py()), hashes).tobytes()
-            out.append((hashlib.md5(s).digest(), s))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([d for d, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], ["digest", "members"]
-        )
+def _sets(among):
+    """Sets of the texts whose id may be ``among`` those asked for, or is null."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            ids = batch.column(0)
+            asked = among(ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
+            out: list[tuple[bytes, bytes]] = []
+            for text in batch.column(1).filter(pa.array(asked)).cast(pa.binary()):
+                s = shingle_set(lower_words(text.as_py()), hashes).tobytes()
+                out.append((hashlib.md5(s).digest(), s))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([d for d, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], ["digest", "members"]
+            )
 
+    return sets
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [
-            odd_sketch(minhash(np.frombuffer(m.as_buffer(), np.uint64), _FINE_MULT, _FINE_PLUS, 128), _FINE_SALT, FINE_BITS)
-            for m in batch.column(1)
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], ["of", "fine"])
+
+def _shared_keys(among):
+    """(key, node) for the keys that may be ``among`` those of several nodes."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1)
+            flat, sizes = keys.flatten().to_numpy(), keys.value_lengths().to_numpy()
+            keep = among(flat)
+            nodes = np.repeat(batch.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(nodes[keep])], ["key", "node"])
+
+    return shared
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partners that a hub is linked with. Rows come hub by hub, the hub's own first; one set is held."""
+    hub, own = None, np.empty(0, np.uint64)
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
+        found: list[tuple[int, int]] = []
+        for of, node, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            x = np.frombuffer(members.as_buffer(), np.uint64)
+            if of == node:
+                hub, own = of, x.copy()
+                continue
+            if of != hub:
+                raise ValueError("a hub's partners came before it")
+            small, large = (x, own) if len(x) <= len(own) else (own, x)
             at = np.searchsorted(large, small)
             both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+            if DEN * both >= NUM * (len(x) + len(own) - both):
+                found.append((of, node))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["hub", "node"])
 
 
-def _likely(left: str, right: str) -> Column:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for members in batch.column(0):
+            np.add.at(counts, (np.frombuffer(members.as_buffer(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "times"])
+
+
+def _rarest(shared):
+    """(key, node) for the rarest shingles of each set, those that no other set has left out. Two
+    sets of n and m shingles at the threshold have 0.75 max(n, m) or more in common, so the first
+    common one is among the first n - 0.75 n + 1 of each in any order that both follow."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for node, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = np.frombuffer(members.as_buffer(), np.uint64)
+                times = counts[(s % np.uint64(COUNTERS)).astype(np.int64)]
+                first = np.lexsort((s, times))[: len(s) - -(-NUM * len(s) // DEN) + 1]
+                first = first[times[first] > 1]
+                keys.append(s[first].view(np.int64))
+                nodes.append(np.full(len(first), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+    return rarest
+
+
+def _likely() -> Column:
     """Sizes and sketches that a pair at the threshold may have."""
-    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    flips = sum((F.bit_count(F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))) for i in range(8)), F.lit(0))
+    n, m = F.col("n"), F.col("hub_n")
+    flips = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (flips <= most_flips())
 
 
 class _Groups:
-    """Classes, their buckets and what is known of their components."""
+    """Classes, their buckets and what is known of their components.
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+    ``rows`` may carry any long in ``row``; it is handed through.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, row: Column):
         self.scratch = s = Scratch(docs.sparkSession, "near_dedup")
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.rows = s.save(self.docs.mapInArrow(_features, _FEATURES))
-        classes = s.save(
-            self.rows.filter("n_shingles > 0").groupBy("digest").agg(
-                F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"),
-                F.min("keys").alias("keys"), F.min("sketch").alias("sketch"),
-            )
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
+        wide = s.save(self.docs.mapInArrow(_features, _FEATURES))
+        self.rows = s.save(wide.select("doc_id", "row", "digest", "n_shingles"))
+        classes = wide.filter("n_shingles > 0").groupBy("digest").agg(
+            F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")
         )
-        self.classes = classes
-        hits = classes.select(F.explode("keys").alias("key"), F.col("digest").alias("node"))
-        shared = hits.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
-        sketches = classes.select(F.col("digest").alias("node"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(8)])
-        self.buckets = s.save(hits.join(shared, "key").join(sketches, "node"))
-        self.sets = self._sets_of(self.buckets.select("node").distinct())
-        self.tested = self.links = self.labels = None
-
-    def _sets_of(self, nodes: DataFrame) -> DataFrame:
-        """The sets of classes that share a bucket with another; one text of each class is read again."""
-        wanted = nodes.join(self.classes, F.col("node") == F.col("digest")).select("rep", "digest")
-        ids = wanted.select("rep").distinct()
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(_sets, "digest binary, members binary")
-        return self.scratch.save(texts.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "lz4")
-
-    def members(self) -> DataFrame:
-        """Members of the buckets that still hold more than one component."""
+        # The number is written with the class, so it stays what it is.
+        self.classes = s.save(classes.withColumn("node", F.monotonically_increasing_id()))
+        s.drop(wide)
+        times = self.classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+        shared = s.save(times.filter("times > 1"))
+        hits = s.save(self.classes.select("node", "keys").mapInArrow(_shared_keys(Bloom(shared, "key").test()), "key long, node long"))
+        self.members = s.save(hot_join(hits, shared, "key"))
+        s.drop(hits, shared)
+        self.known = self.classes.select("node", "n", "sketch")
+        #: (node, label) of nodes that are not their own label.
+        self.labels: DataFrame | None = None
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """Adds the label of each row's node."""
         if self.labels is None:
-            return self.buckets.withColumn("label", F.col("node"))
-        known = self.labels.withColumnRenamed("node", "of")
-        members = self.buckets.join(known, F.col("node") == F.col("of"), "left").drop("of").withColumn("label", F.coalesce("label", "node"))
-        open_ = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        return members.join(open_, "key")
-
-    def star(self, turn: int) -> None:
-        members = self.scratch.save(self.members(), "lz4")
+            return rows.withColumn("label", F.col("node"))
+        known = self.labels.select(F.col("node").alias("of"), "label")
+        return rows.join(known.hint("merge"), F.col("node") == F.col("of"), "left").drop("of").withColumn("label", F.coalesce("label", "node"))
+
+    def star(self, turn: int) -> bool:
+        """One round; false if no bucket holds more than one component any more."""
+        s = self.scratch
+        members = s.save(self.named(self.members.select("key", "node")))
         order = F.xxhash64("node", F.lit(turn))
-        fields = ["node", "label", "n", *[f"s{i}" for i in range(8)]]
-        hubs = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), *fields)).alias("hub")).select("key", "hub.*").drop("order")
-        pairs = members.alias("m").join(hubs.alias("h"), F.col("m.key") == F.col("h.key")).filter(
-            (F.col("m.label") != F.col("h.label")) & _likely("m", "h")
+        hubs = members.groupBy("key").agg(
+            F.min(F.struct(order.alias("order"), "node", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
         )
-        self._test(pairs.select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")))
-        self.scratch.drop(members)
+        hubs = s.save(hubs.filter("low <> high").select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")))
+        if hubs.isEmpty():
+            s.drop(members, hubs)
+            return False
+        pairs = hot_join(members.select("key", "node", "label"), hubs, "key").filter("label <> hub_label").select("hub", "node").distinct()
+        self.decide(s.save(pairs), self.wanted)
+        s.drop(members, hubs)
+        return True
 
     def rest(self) -> None:
-        members = self.scratch.save(self.members(), "lz4")
-        nodes = members.select(F.col("node").alias("digest")).distinct()
-        fine = self.sets.join(nodes, "digest", "left_semi").select("digest", "members").mapInArrow(_fine, "of binary, fine array<long>")
-        keys = self.classes.select(F.col("digest").alias("of"), "keys")
-        members = self.scratch.save(members.join(fine.join(keys, "of"), F.col("node") == F.col("of")).drop("of"), "lz4")
-        flips = F.aggregate(F.zip_with("m.fine", "h.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        once = F.array_min(F.array_intersect("m.keys", "h.keys")) == F.col("m.key")
-        pairs = members.alias("m").join(members.alias("h"), F.col("m.key") == F.col("h.key")).filter(
-            (F.col("m.label") < F.col("h.label")) & _likely("m", "h") & (flips <= most_flips(FINE_BITS, FINE_SAMPLES)) & once
-        )
-        self._test(pairs.select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")))
-        self.scratch.drop(members)
-
-    def _test(self, pairs: DataFrame) -> None:
-        """Decides new pairs on their full sets."""
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        sets = self.sets
-        full = pairs.join(sets.select(F.col("digest").alias("a"), F.col("members").alias("set_a")), "a").join(
-            sets.select(F.col("digest").alias("b"), F.col("members").alias("set_b")), "b"
-        )
-        new = self.scratch.save(full.mapInArrow(_linked, "a binary, b binary, linked boolean"))
-        self.tested = new if self.tested is None else self.tested.union(new)
-        old = self.labels
-        if not new.filter("linked").isEmpty():
-            self.labels = connected_components(self.tested.filter("linked").select("a", "b"), self.scratch)
-            if old is not None:
-                self.scratch.drop(old)
+        """All pairs that share a band and are still apart, by way of their rarest shingles."""
+        s = self.scratch
+        members = s.save(self.named(self.members.select("key", "node")))
+        open_ = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "low")
+        nodes = s.save(hot_join(members, open_, "key").select("node").distinct())
+        s.drop(members)
+        if nodes.isEmpty():
+            return
+        sets = s.save(self.wanted(nodes))
+        counts = np.zeros(COUNTERS, np.int64)
+        # At most COUNTERS sums.
+        found = sets.select("members").mapInArrow(_counted, "at long, times long").groupBy("at").agg(F.sum("times").alias("times")).toArrow()
+        counts[found.column("at").to_numpy()] = found.column("times").to_numpy()
+        shared = s.spark.sparkContext.broadcast(counts)
+        hits = s.save(sets.select("node", "members").mapInArrow(_rarest(shared), "key long, node long"))
+        times = hits.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+        listed = s.save(self.named(hot_join(hits, times, "key")).join(self.known.hint("merge"), "node"))
+        # A key of many nodes is dealt into parts; each part meets all of the key's nodes as a stream.
+        parts = F.ceil(F.col("times") / HOT_LEAST).cast("int")
+        left = listed.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        right = listed.select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch"),
+                              F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        pairs = left.join(right.hint("merge"), ["key", "part"]).filter((F.col("hub") < F.col("node")) & (F.col("label") != F.col("hub_label")) & _likely())
+        self.decide(s.save(pairs.select("hub", "node").distinct()), lambda _: sets.select("node", "members"))
+        s.drop(listed, hits, nodes, sets)
+
+    def wanted(self, nodes: DataFrame) -> DataFrame:
+        """(node, members): the sets of ``nodes``; one text of each class is read again."""
+        wanted = self.scratch.save(self.classes.select("node", "digest", "rep").join(nodes.hint("merge"), "node", "left_semi"))
+        texts = self.docs.select("doc_id", "text").mapInArrow(_sets(Bloom(wanted, "rep").test()), "digest binary, members binary")
+        found = texts.join(wanted.select("node", "digest").hint("merge"), "digest")
+        return found.groupBy("node").agg(F.first("members").alias("members"))
+
+    def decide(self, pairs: DataFrame, sets_of) -> None:
+        """Decides (hub, node) pairs by sketch, then on full sets, and joins what is linked."""
+        s = self.scratch
+        sketched = s.save(pairs.join(self.known.hint("merge"), "node"))
+        hubs = self.known.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
+        likely = s.save(hot_join(sketched, hubs, "hub").filter(_likely()).select("hub", "node"))
+        s.drop(pairs, sketched)
+        # A hub meets its partners in parts; its own set goes to each.
+        sizes = likely.groupBy("hub").agg(F.count(F.lit(1)).alias("times"))
+        parts = sizes.select("hub", F.ceil(F.col("times") / HOT_LEAST).cast("int").alias("parts"))
+        dealt = hot_join(likely, parts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node")
+        own = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"))
+        dealt = s.save(dealt.union(own))
+        sets = sets_of(dealt.select("node").distinct())
+        met = dealt.join(sets.hint("merge"), "node").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("hub") != F.col("node"))
+        links = s.save(met.select("hub", "node", "members").mapInArrow(_linked, "hub long, node long"))
+        s.drop(likely, dealt)
+        if not links.isEmpty():
+            self.merge(links)
+
+    def merge(self, links: DataFrame) -> None:
+        """Takes new links into the labels; what is known enters as whole components."""
+        s = self.scratch
+        ends = s.save(self.named(links).select("hub", F.col("label").alias("a")))
+        ends = self.named(ends.select("a", F.col("hub").alias("node"))).select("a", F.col("label").alias("b"))
+        new = connected_components(ends, s)
+        if self.labels is None:
+            self.labels = new
+            return
+        moved = new.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        kept = hot_join(self.labels, moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        old, self.labels = self.labels, s.save(kept.union(new.join(self.labels.select("node"), "node", "left_anti").filter("node <> label")).distinct())
+        s.drop(old)
+
+    def components(self) -> DataFrame:
+        """(digest, label) of all classes."""
+        return self.named(self.classes.select("digest", "node", "rep")).select("digest", "label", "rep")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, row: Column) -> _Groups:
+    g = _Groups(docs, id_col, text_col, row)
+    for turn in range(STAR_ROUNDS):
+        if not g.star(turn):
+            return g
+    g.rest()
+    return g
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,34 +368,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have no shingles and are their own component
     (null id: null). A null doc_id takes part in a group but never names it
-    while the group has another id. Repeated rows get equal results. Extra
-    columns are ignored; an empty table gives no rows.
+    while the group has another id. Repeated rows get equal results. Texts of any
+    length are read whole. Extra columns are ignored; an empty table gives no rows.
     """
-    g = _Groups(docs, id_col, text_col)
-    for turn in range(STAR_ROUNDS):
-        g.star(turn)
-    g.rest()
+    g = _grouped(docs, id_col, text_col, F.lit(0))
     s = g.scratch
-    classes = g.classes.select("digest", "rep")
-    if g.labels is not None:
-        named = classes.join(g.labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest"))
-        low = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-        classes = named.join(low, "label").select("digest", "component_id")
-    else:
-        classes = classes.select("digest", F.col("rep").alias("component_id"))
+    named = s.save(g.components())
+    low = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    classes = hot_join(named.select("digest", "label"), low, "label").select("digest", "component_id")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = g.rows.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = hot_join(g.rows, classes, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     out = s.save(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    s.drop(g.buckets, g.sets, g.classes, g.rows)
+    s.drop(g.members, g.classes, g.rows, named)
     return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group, with all its columns: the one whose doc_id the
-    group is named by; of repeated rows of that id, one."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(rows.filter("doc_id IS NULL"))
+    """One row of each near-duplicate group, with all its columns.
+
+    It is the row of the smallest doc_id (null last); among rows of that id the one
+    of the smallest hash over all columns, and of rows equal in all columns, one. Rows
+    without words belong to no group and stay, all of them. Which rows go is
+    decided by row, not by id, so unlike texts of one id don't lose each other.
+    """
+    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    g = _grouped(docs, "doc_id", "text", row)
+    s = g.scratch
+    named = s.save(g.components().select("digest", "label"))
+    rows = s.save(hot_join(g.rows.filter("n_shingles > 0"), named, "digest").select("doc_id", "row", "label"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = rows.groupBy("label").agg(F.min(order).alias("first")).select("label", F.struct("first.doc_id", "first.row").alias("first"))
+    told = s.save(hot_join(rows, first, "label").withColumn("__gone", ~F.struct("doc_id", "row").eqNullSafe(F.col("first"))))
+    # Rows that go, and rows that stay but are there several times.
+    marked = told.groupBy("row", "doc_id", "__gone").count().filter("__gone OR count > 1")
+    marked = s.save(marked.select("row", F.col("doc_id").alias("__id"), "__gone"))
+    among = Bloom(marked, "row").test()
+    at = len(docs.columns)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(among(batch.column(at).to_numpy()))], [*batch.schema.names, "__open"])
+
+    hashed = docs.withColumn("__row", row)
+    tested = hashed.mapInArrow(split, T.StructType([*hashed.schema.fields, T.StructField("__open", T.BooleanType())]))
+    # Only rows that the filter lets pass are moved.
+    same = (F.col("__row") == F.col("row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    asked = tested.filter("__open").join(marked.hint("merge"), same, "left").filter("__gone IS NULL OR NOT __gone")
+    once = asked.filter("__gone IS NOT NULL").dropDuplicates(["__row", "__id"])
+    return reduce(DataFrame.union, [part.select(*docs.columns) for part in (tested.filter("NOT __open"), asked.filter("__gone IS NULL"), once)])
 
 
 #: The same in DuckDB, by comparing all texts that share a shingle.

@@ -12,7 +12,7 @@ last, and what is left is packed best fit, longest first.
 The program sees the histogram alone, at most CAPACITY numbers whatever the
 corpus holds, and so its solution has a bounded number of configurations. A
 piece's place follows from its length and its rank among pieces of that length,
-which is counted in parts of about PART pieces so that no task holds a length.
+which is counted in parts so that no task holds a length.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ END_ID = 1
 GAP = 0.05
 #: Distinct words whose ids a worker remembers before it forgets them all, and bytes of text it cuts at a time.
 MEMO, CHUNK = 1_500_000, 32 << 20
-#: Pieces of one length that are ranked together, about.
-PART = 250_000
+#: Pieces of one length that are ranked together at most: this many, and one in PARTS of all.
+PART, PARTS = 250_000, 512
 VOCABULARY = "word_bpe_49k.json"
 #: ASCII punctuation at a word's end that the vocabulary's rules never join to a letter before it;
 #: the apostrophe, which may begin a contraction, is left out.
@@ -312,7 +312,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     pieces = scratch.save(pieces_of(rows, vocabulary or public_tokenizers.path(VOCABULARY), capacity))
     # One number for each length: at most ``capacity`` rows.
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    dealt = F.get(F.lit([1 + counts.get(k, 0) // PART for k in range(capacity + 1)]), F.col("length").cast("int"))
+    total = sum(counts.values())
+    parts = max(PARTS, total // PART)
+    dealt = F.get(F.lit([1 + counts.get(k, 0) * parts // max(1, total) for k in range(capacity + 1)]), F.col("length").cast("int"))
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), dealt))
     parts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)

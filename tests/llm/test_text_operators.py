@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from cliptide.llm import language_model, license_scan, near_dedup, quality, toxicity
+from cliptide.llm import _common, language_model, license_scan, near_dedup, quality, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, score int"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -71,7 +71,42 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
     kept = near_dedup.keep_one(frame(spark, texts))
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({k for k, _, _, keep in want if keep and k is not None})
+    # One row of each group, the one of the least id; all rows without words.
+    rows = sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect())))
+    least = {}
+    for i, (k, t) in enumerate(texts):
+        if sets[i]:
+            least[find(i)] = min(least.get(find(i), (True, math.inf, "")), (k is None, k or 0, t))
+    want = [(None if none else k, t) for none, k, t in least.values()] + [(k, t) for k, t in texts if not shingles(t)]
+    assert rows == sorted(map(repr, want))
+
+
+def test_unlike_texts_of_one_id_both_stay(spark):
+    texts = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (2, "one two three four five six seven"), (None, "ix x xi xii xiii"), (None, "ix x xi xii xiii")]
+    kept = near_dedup.keep_one(frame(spark, texts)).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [texts[0], texts[1], texts[3]]))
+
+
+def test_a_hub_of_many_and_a_shared_passage(spark, monkeypatch):
+    """Groups that are dealt into parts, and texts that have much in common but not enough."""
+    for module in (near_dedup, _common):
+        monkeypatch.setattr(module, "HOT_LEAST", 8)
+    rng = random.Random(12)
+    draw = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    passage = draw(100)
+    texts = [(i, " ".join(passage + draw(80))) for i in range(60)]
+    base = draw(150)
+    for i in range(60):
+        words = list(base)
+        words[rng.randrange(150)] = f"y{i}"
+        texts.append((100 + i, " ".join(words)))
+    texts += [(200 + i, " ".join([*passage, *draw(10)])) for i in range(20)]
+    texts += [(300, "w " * 30_000), (301, "w " * 30_001), (302, " ".join(draw(30_000)))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    sets = {k: shingles(t) for k, t in texts}
+    for k in got:
+        linked = [j for j in got if 100 * len(sets[j] & sets[k]) >= 75 * len(sets[j] | sets[k])]
+        assert all(got[j] == got[k] for j in linked) and (len(linked) > 1) == (sum(c == got[k] for c in got.values()) > 1)
 
 
 def test_near_duplicates_of_nothing(spark):
