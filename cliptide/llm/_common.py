@@ -131,13 +131,15 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") ->
     goes to each. There are at most HOT_PARTS such keys, so their list is small.
     ``left`` is read twice: give it a table.
     """
-    counts = left.groupBy(on).count()
     total = left.count()
     least = max(HOT_LEAST, total // HOT_PARTS)
-    hot = counts.filter(F.col("count") > least).select(F.col(on).alias("__hot"), F.ceil(F.col("count") / least).cast("int").alias("__parts"))
-    if total <= least or hot.isEmpty():
+    if total <= least:
         return left.join(right.hint("merge"), on, how)
-    hot = F.broadcast(hot.coalesce(1))
+    hot = left.groupBy(F.col(on).alias("__hot")).agg(F.ceil(F.count(F.lit(1)) / least).cast("int").alias("__parts")).filter("__parts > 1")
+    found = [tuple(r) for r in hot.collect()]
+    if not found:
+        return left.join(right.hint("merge"), on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
     dealt = left.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__parts")), F.lit(0)).cast("int"))
     copies = right.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1)))
     return dealt.drop("__hot", "__parts").join(copies.drop("__hot", "__parts").hint("merge"), [on, "__part"], how).drop("__part")
@@ -153,10 +155,10 @@ class Bloom:
 
     def __init__(self, df: DataFrame, column: str):
         wanted = 16 * max(1, df.count())
-        self.shift = 64 - max(1, min((BLOOM_BYTES // 8192).bit_length() - 1, (wanted >> 16).bit_length()))
+        self.shift = 64 - max(1, min((BLOOM_BYTES // 1024).bit_length() - 1, (wanted >> 13).bit_length()))
         blocks = df.select(F.col(column).cast("long").alias("v")).filter("v IS NOT NULL").mapInArrow(self._placed(), "block int, v long")
         found = blocks.groupBy("block").applyInArrow(self._built(), "block int, bits binary").toArrow()
-        bits = np.zeros((1 << 64 - self.shift, 8192), np.uint8)
+        bits = np.zeros((1 << 64 - self.shift, 1024), np.uint8)
         for block, b in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
             bits[block] = np.frombuffer(b, np.uint8)
         self.shared = df.sparkSession.sparkContext.broadcast(bits)
@@ -175,7 +177,7 @@ class Bloom:
         shift = self.shift
 
         def built(table: pa.Table) -> pa.Table:
-            flags = np.zeros(1 << 16, bool)
+            flags = np.zeros(1 << 13, bool)
             _, probes = _probes(table.column("v").to_numpy(), shift)
             flags[probes.ravel()] = True
             return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
@@ -197,4 +199,4 @@ def _probes(values: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """The block of each number and its four bits there."""
     h = mix64(values.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B0929F9A5))
     g = mix64(h * np.uint64(0x9E3779B97F4A7C15))
-    return (h >> np.uint64(shift)).astype(np.int64), np.stack([(g >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in range(4)]).astype(np.int64)
+    return (h >> np.uint64(shift)).astype(np.int64), np.stack([(g >> np.uint64(16 * i)) & np.uint64(0x1FFF) for i in range(4)]).astype(np.int64)

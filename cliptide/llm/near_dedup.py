@@ -17,8 +17,9 @@ Steps, each a distributed table:
    on full sets.
 4. Buckets that then still hold several components are finished by their members'
    rarest shingles: two sets at the threshold share one of the rarest quarter of
-   theirs, whatever the order, so members of one bucket that have only a common
-   passage between them no longer meet. Pairs that do meet go the way of step 3.
+   theirs, whatever the order, and the first that they share leaves room for enough
+   others behind it. So members of one bucket that have only a common passage
+   between them no longer meet. Pairs that do meet go the way of step 3.
 5. Components come from label spreading over the confirmed links.
 
 Nodes that many rows name (hubs, common bands, repeated texts) are dealt over tasks.
@@ -50,7 +51,7 @@ SKETCH_BITS = 512
 SIGMAS = 4.5
 STAR_ROUNDS = 2
 #: Counters that put shingles in order from rare to frequent; equal counts fall back on the hash.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _MULT = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -200,22 +201,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarest(shared):
-    """(key, node) for the rarest shingles of each set, those that no other set has left out. Two
-    sets of n and m shingles at the threshold have 0.75 max(n, m) or more in common, so the first
-    common one is among the first n - 0.75 n + 1 of each in any order that both follow."""
+    """(key, node, label, n, behind) for the rarest shingles of each set, those that no other set has
+    left out; ``behind`` counts the shingle and those after it."""
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for node, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
+            for node, label, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = np.frombuffer(members.as_buffer(), np.uint64)
+                n = len(s)
                 times = counts[(s % np.uint64(COUNTERS)).astype(np.int64)]
-                first = np.lexsort((s, times))[: len(s) - -(-NUM * len(s) // DEN) + 1]
-                first = first[times[first] > 1]
-                keys.append(s[first].view(np.int64))
-                nodes.append(np.full(len(first), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                # A partner has 0.75 n shingles in common or more.
+                first = np.lexsort((s, times))[: n - -(-NUM * n // DEN) + 1]
+                at = np.flatnonzero(times[first] > 1)
+                for column, values in zip(out, (s[first[at]].view(np.int64), np.full(len(at), node), np.full(len(at), label), np.full(len(at), n), n - at), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "node", "label", "n", "behind"])
 
     return rarest
 
@@ -250,6 +252,7 @@ class _Groups:
         self.members = s.save(hot_join(hits, shared, "key"))
         s.drop(hits, shared)
         self.known = self.classes.select("node", "n", "sketch")
+        self.sets = self.sets_of(self.members.select("node").distinct())
         #: (node, label) of nodes that are not their own label.
         self.labels: DataFrame | None = None
 
@@ -273,45 +276,49 @@ class _Groups:
             s.drop(members, hubs)
             return False
         pairs = hot_join(members.select("key", "node", "label"), hubs, "key").filter("label <> hub_label").select("hub", "node").distinct()
-        self.decide(s.save(pairs), self.wanted)
+        self.decide(s.save(pairs))
         s.drop(members, hubs)
         return True
 
     def rest(self) -> None:
-        """All pairs that share a band and are still apart, by way of their rarest shingles."""
+        """All pairs that share a band and are still apart, by way of their rarest shingles.
+
+        Of two sets of n and m shingles, first a, then b are left from the first
+        common one on, and no more than the lesser of both is common.
+        """
         s = self.scratch
         members = s.save(self.named(self.members.select("key", "node")))
         open_ = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "low")
-        nodes = s.save(hot_join(members, open_, "key").select("node").distinct())
+        nodes = s.save(hot_join(members, open_, "key").select("node", "label").distinct())
         s.drop(members)
         if nodes.isEmpty():
             return
-        sets = s.save(self.wanted(nodes))
+        sets = s.save(nodes.join(self.sets.hint("merge"), "node").select("node", "label", "members"))
         counts = np.zeros(COUNTERS, np.int64)
         # At most COUNTERS sums.
         found = sets.select("members").mapInArrow(_counted, "at long, times long").groupBy("at").agg(F.sum("times").alias("times")).toArrow()
         counts[found.column("at").to_numpy()] = found.column("times").to_numpy()
         shared = s.spark.sparkContext.broadcast(counts)
-        hits = s.save(sets.select("node", "members").mapInArrow(_rarest(shared), "key long, node long"))
-        times = hits.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-        listed = s.save(self.named(hot_join(hits, times, "key")).join(self.known.hint("merge"), "node"))
+        hits = s.save(sets.mapInArrow(_rarest(shared), "key long, node long, label long, n long, behind long"))
+        times = hits.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("label").alias("low"), F.max("label").alias("high"))
+        listed = s.save(hot_join(hits, times.filter("low <> high").select("key", "times"), "key"))
         # A key of many nodes is dealt into parts; each part meets all of the key's nodes as a stream.
         parts = F.ceil(F.col("times") / HOT_LEAST).cast("int")
-        left = listed.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-        right = listed.select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch"),
-                              F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        pairs = left.join(right.hint("merge"), ["key", "part"]).filter((F.col("hub") < F.col("node")) & (F.col("label") != F.col("hub_label")) & _likely())
-        self.decide(s.save(pairs.select("hub", "node").distinct()), lambda _: sets.select("node", "members"))
+        left = listed.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("times")
+        right = listed.select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("behind").alias("hub_behind"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        enough = DEN * F.least("behind", "hub_behind") * (NUM + DEN) >= NUM * DEN * (F.col("n") + F.col("hub_n"))
+        pairs = left.join(right.hint("merge"), ["key", "part"]).filter((F.col("hub") < F.col("node")) & (F.col("label") != F.col("hub_label")) & enough)
+        self.decide(s.save(pairs.select("hub", "node").distinct()))
         s.drop(listed, hits, nodes, sets)
 
-    def wanted(self, nodes: DataFrame) -> DataFrame:
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
         """(node, members): the sets of ``nodes``; one text of each class is read again."""
         wanted = self.scratch.save(self.classes.select("node", "digest", "rep").join(nodes.hint("merge"), "node", "left_semi"))
         texts = self.docs.select("doc_id", "text").mapInArrow(_sets(Bloom(wanted, "rep").test()), "digest binary, members binary")
         found = texts.join(wanted.select("node", "digest").hint("merge"), "digest")
-        return found.groupBy("node").agg(F.first("members").alias("members"))
+        return self.scratch.save(found.groupBy("node").agg(F.first("members").alias("members")), "lz4")
 
-    def decide(self, pairs: DataFrame, sets_of) -> None:
+    def decide(self, pairs: DataFrame) -> None:
         """Decides (hub, node) pairs by sketch, then on full sets, and joins what is linked."""
         s = self.scratch
         sketched = s.save(pairs.join(self.known.hint("merge"), "node"))
@@ -324,8 +331,7 @@ class _Groups:
         dealt = hot_join(likely, parts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node")
         own = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"))
         dealt = s.save(dealt.union(own))
-        sets = sets_of(dealt.select("node").distinct())
-        met = dealt.join(sets.hint("merge"), "node").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("hub") != F.col("node"))
+        met = dealt.join(self.sets.hint("merge"), "node").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("hub") != F.col("node"))
         links = s.save(met.select("hub", "node", "members").mapInArrow(_linked, "hub long, node long"))
         s.drop(likely, dealt)
         if not links.isEmpty():
@@ -379,7 +385,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = hot_join(g.rows, classes, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     out = s.save(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    s.drop(g.members, g.classes, g.rows, named)
+    s.drop(g.members, g.sets, g.classes, g.rows, named)
     return out
 
 
