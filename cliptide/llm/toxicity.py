@@ -2,12 +2,12 @@
 
 A word enters as the sum of a hashed word vector and the mean of its hashed
 character-trigram vectors. The network reads windows of WINDOW words; a text is
-covered by windows that start every STRIDE words, all of which are scored, and
-the text's score is the highest of theirs (a text without words is scored as one
-empty window). Training is plain numpy on the driver, from windows of a bounded
-sample of labelled documents (SAMPLE_DOCS of each class, SAMPLE_WINDOWS of each
-document); then the windows of clean sample documents that score highest are
-trained on once more.
+covered by windows that start every STRIDE words, half a window, all of which are
+scored, and the text's score is the highest of theirs (a text without words is
+scored as one empty window). Training is plain numpy on the driver, from a bounded
+sample of labelled documents (SAMPLE_DOCS and SAMPLE_WORDS of each class), whose
+whole texts are cut into windows that start every LEARN_STRIDE words; then the
+windows of clean sample documents that score highest are trained on once more.
 """
 
 from __future__ import annotations
@@ -21,13 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliptide.llm._common import MEMO_WORDS, fold_of, lower_words
+from cliptide.llm._common import MEMO_WORDS, WORD, fold_of, lower_words
 
-WINDOW, STRIDE = 48, 40
-#: Labelled documents of each class that the network learns from, at most.
-SAMPLE_DOCS = 3000
-#: Windows it takes of one such document, at most, and of a clean one kept apart for calibration.
-SAMPLE_WINDOWS, CALIBRATION_WINDOWS = 16, 64
+WINDOW, STRIDE, LEARN_STRIDE = 48, 24, 40
+#: Labelled documents of each class that the network learns from, at most, and their words. In the
+#: order of a hash of their ids, documents are taken whole; one that doesn't fit any more is passed over.
+SAMPLE_DOCS, SAMPLE_WORDS = 3000, 2_000_000
 #: Clean windows that a document has, counted when false alarms are weighed against misses.
 ALARM_WEIGHT = 40
 WORD_ROWS, CHAR_ROWS, WIDTH, UNITS = 1 << 14, 1 << 13, 16, 8
@@ -73,21 +72,18 @@ def empty_params(seed: int = 7) -> Params:
     }
 
 
-def softsign(x: np.ndarray) -> np.ndarray:
-    """A squashing function like tanh, at a fifth of its cost; its slope is (1 - |value|)^2."""
-    return x / (np.abs(x) + np.float32(1))
-
-
 def gate(x: np.ndarray) -> np.ndarray:
-    return softsign(x) * np.float32(0.5) + np.float32(0.5)
+    """The logistic function."""
+    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
 def slope(value: np.ndarray) -> np.ndarray:
-    return np.square(np.float32(1) - np.abs(value))
+    """tanh' where tanh is ``value``."""
+    return np.float32(1) - np.square(value)
 
 
 def gate_slope(value: np.ndarray) -> np.ndarray:
-    return slope(value * 2 - 1) * np.float32(0.5)
+    return value * (np.float32(1) - value)
 
 
 def embed(p: Params, words: list[bytes]) -> np.ndarray:
@@ -132,13 +128,13 @@ def forward(p: Params, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         g = ut @ h
         zr = gate(x[t, :, : 2 * UNITS] + g[:, : 2 * UNITS])
         z, r = zr[:, :UNITS], zr[:, UNITS:]
-        c = softsign(x[t, :, 2 * UNITS :] + r * g[:, 2 * UNITS :])
+        c = np.tanh(x[t, :, 2 * UNITS :] + r * g[:, 2 * UNITS :])
         if keep:
             kept.append((h, z, r, c, g[:, 2 * UNITS :]))
         h = h + z * (c - h)
         states[t] = h
     both = np.concatenate([states[:, 0], states[::-1, 1]], axis=1)
-    a = softsign(p["wa"].T @ both + p["ba"][:, None])
+    a = np.tanh(p["wa"].T @ both + p["ba"][:, None])
     e = np.where(mask, p["va"] @ a, np.float32(-1e9))
     e = np.exp(e - e.max(axis=0))
     weight = e / e.sum(axis=0)
@@ -295,12 +291,16 @@ class Scorer:
                     if used:
                         flush()
                     self.clear()
-                at = self.places(span)
-                for s in range(0, max(1, len(span) - (WINDOW - STRIDE)), STRIDE):
-                    piece = at[s : s + WINDOW]
-                    rows[used, : len(piece)] = piece
-                    owner[used] = len(best) - 1
-                    used += 1
+                starts = np.arange(0, max(1, len(span) - (WINDOW - STRIDE)), STRIDE)
+                at = np.full(starts[-1] + WINDOW, -1, np.int32)
+                at[: len(span)] = self.places(span)
+                windows = np.lib.stride_tricks.sliding_window_view(at, WINDOW)[starts]
+                while len(windows):
+                    part = windows[: block - used]
+                    rows[used : used + len(part)] = part
+                    owner[used : used + len(part)] = len(best) - 1
+                    used += len(part)
+                    windows = windows[len(part) :]
                     if used == block:
                         flush()
         if used:
@@ -309,20 +309,27 @@ class Scorer:
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Evenly spread windows of labelled documents."""
+    """All windows of labelled documents."""
     for batch in batches:
         texts, roles = [], []
         for text, y in zip(batch.column("text").cast(pa.binary()), batch.column("toxic").to_pylist(), strict=True):
             words = lower_words(text.as_py())
-            starts = range(0, max(1, len(words) - (WINDOW - STRIDE)), STRIDE)
             role = CALIBRATE if not y and zlib.crc32(b" ".join(words[:WINDOW])) % 3 == 0 else y
-            most = CALIBRATION_WINDOWS if role == CALIBRATE else SAMPLE_WINDOWS
-            for s in np.unique(np.linspace(0, len(starts) - 1, min(len(starts), most)).astype(int)):
-                texts.append(b" ".join(words[starts[s] : starts[s] + WINDOW]))
+            for s in range(0, max(1, len(words) - (WINDOW - LEARN_STRIDE)), LEARN_STRIDE):
+                texts.append(b" ".join(words[s : s + WINDOW]))
                 roles.append(role)
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(roles, pa.int32())], ["window", "role"])
 
 
+def within(sizes: list[int], most: int) -> list[bool]:
+    """Which of a row of sizes are taken so that no more than ``most`` comes together."""
+    out = []
+    for size in sizes:
+        out.append(size <= most)
+        most -= size if out[-1] else 0
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Params:
     """Learns from labelled documents whose crc32(doc_id) mod 3 is not 1.
 
@@ -339,8 +346,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known.filter("toxic = 0").orderBy(order, "doc_id").limit(SAMPLE_DOCS)
     )
     # At most 2 * SAMPLE_DOCS ids: a bounded broadcast.
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    rows = texts.mapInArrow(_sample, "window binary, role int").collect()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    sizes = texts.groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).alias("words")).orderBy(order, "doc_id").collect()
+    taken = [r.doc_id for y in (0, 1) for r, fits in zip([r for r in sizes if r.toxic == y], within([r.words for r in sizes if r.toxic == y], SAMPLE_WORDS), strict=True) if fits]
+    chosen = docs.sparkSession.createDataFrame([(k,) for k in taken], T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType)]))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(_sample, "window binary, role int").collect()
     windows = sorted((bytes(r.window), r.role) for r in rows)
     windows = [(w.split(), y) for w, y in windows]
     apart = [w for w, y in windows if y == CALIBRATE]
