@@ -1,18 +1,27 @@
 """Quality rules: plain limits, and robust multivariate outliers within a language and source.
 
-Every text gives a vector of transformed statistics. For each (lang, source) the
-minimum covariance determinant estimate is approached by concentration steps:
-from the coordinates' medians and median deviations, take the share COVERAGE of
-documents nearest by Mahalanobis distance, re-estimate centre and scatter from
-these, and repeat. Texts whose distance to the final estimate exceeds LIMIT are
-rejected. All documents of a group take part in every step; distances are
-counted in fine logarithmic bins, so a step is one partially aggregated pass
-that leaves at most BINS sums for each group, however large the group is.
-Groups of fewer than LEAST documents borrow the estimate of their language.
+Every text gives a vector of transformed statistics. For each (lang, source), each
+language and all documents together, the minimum covariance determinant estimate
+is sought: of the share COVERAGE of documents whose scatter has the smallest
+determinant. Starts are the coordinates' medians and median deviations, and STARTS
+random handfuls; from each, concentration steps (take the share of documents nearest
+by Mahalanobis distance, re-estimate, repeat) never raise the determinant. They
+run on at most SUBSET documents of a group, which is all that a smaller group has;
+for a larger one the best KEPT estimates then go on over all its documents, step by
+step until the determinant stays, and the smallest wins. Distances are counted there
+in fine logarithmic bins, the last one in part, so a step is one partially aggregated
+pass that leaves at most BINS sums for each group, however large the group is.
+
+A text's statistics also vary by chance, the more the shorter it is; that variance
+(``noise``) is known. It keeps determinants above 0 where most texts have no symbol
+or repetition at all, and a text's distance is taken in the scatter plus its own noise.
+An estimate is shrunk towards the next wider group's as if PRIOR documents of that
+belonged to it. Texts beyond LIMIT, a chi-square quantile, are rejected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,18 +32,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliptide.llm._common import Scratch, WordHashes, mix64
+from cliptide.llm._common import Scratch, WordHashes, hot_join, mix64
 
 REPEAT_WINDOW = 5
 COVERAGE = 0.75
-STEPS = 5
-BINS_PER_E, LOW_BIN, HIGH_BIN = 16, -160, 480
-LEAST = 30
-#: Squared Mahalanobis distance beyond which a text is an outlier.
-LIMIT = 60.0
-#: Least standard deviation of each coordinate; below it differences don't matter.
-FLOORS = (0.10, 0.036, 0.10, 0.10)
-COORDINATES = len(FLOORS)
+#: Random starts, estimates that go on over a large group, and documents of a group that starts are tried on.
+STARTS, KEPT, SUBSET = 10, 2, 500
+#: Concentration steps at most; a handful is enough as a rule.
+STEPS = 25
+BINS_PER_E, LOW_BIN, HIGH_BIN = 64, -640, 1920
+PRIOR = 30
+COORDINATES = 4
+#: Estimates that are broadcast at most; more are joined.
+BROADCAST = 20_000
+#: Chance of a normal text's distance beyond LIMIT.
+TAIL = 1e-6
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = bytes(1 if c in SYMBOLS else 0 for c in range(256))
 _IS_CONT = bytes(1 if 0x80 <= c < 0xC0 else 0 for c in range(256))
@@ -42,6 +54,28 @@ _IS_CONT = bytes(1 if 0x80 <= c < 0xC0 else 0 for c in range(256))
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
+def chi_square_tail(x: float, degrees: int) -> float:
+    """P(X > x) for an even number of degrees of freedom."""
+    term = total = math.exp(-x / 2)
+    for i in range(1, degrees // 2):
+        term *= x / 2 / i
+        total += term
+    return total
+
+
+def chi_square_quantile(tail: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square_tail(mid, degrees) > tail else (low, mid)
+    return high
+
+
+LIMIT = chi_square_quantile(TAIL, COORDINATES)
+#: A normal sample's scatter over that of its nearest COVERAGE share.
+SPREAD = COVERAGE / (1 - chi_square_tail(chi_square_quantile(1 - COVERAGE, COORDINATES), COORDINATES + 2))
+
+
 def statistics(text: bytes | None, hashes: WordHashes) -> tuple[int, ...]:
     """STATS of one whole text (UTF-8); a null text has none of anything.
 
@@ -106,79 +140,187 @@ def coordinates(names: dict[str, str]) -> list[Column]:
     ]
 
 
-_MODEL = "array<double>"
+def noise(names: dict[str, str]) -> list[Column]:
+    """Variances by chance: a share's square root varies by 1 / (4 n), n being the things counted
+    (words repeat by the window), a mean's logarithm by its squared coefficient of variation / n,
+    and word lengths vary by about half their mean."""
+    some = lambda s: F.greatest(F.col(names[s]).cast("double"), F.lit(1.0))
+    return [0.25 / some("n_words"), 0.25 / some("word_chars"), 0.25 / some("n_lines"), 0.25 * REPEAT_WINDOW / some("n_words")]
+
+
+# An estimate is an array: centre, scatter, inverse of (scatter + target), log determinant of that.
+_C, _S, _I, _D = 0, COORDINATES, COORDINATES + COORDINATES**2, COORDINATES + 2 * COORDINATES**2
+
+
+def estimate_of(centre: np.ndarray, scatter: np.ndarray, target: np.ndarray) -> np.ndarray:
+    whole = scatter + np.diag(target)
+    return np.concatenate([centre, scatter.ravel(), np.linalg.inv(whole).ravel(), [np.linalg.slogdet(whole)[1]]])
+
+
+def concentrate(x: np.ndarray, target: np.ndarray, start: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Concentration steps from an estimate until the determinant stays."""
+    h = math.ceil(COVERAGE * len(x))
+    best = start
+    for i in range(steps):
+        d = x - best[_C:_S]
+        order = np.argsort(np.einsum("ij,jk,ik->i", d, best[_I:_D].reshape(COORDINATES, -1), d), kind="stable")[:h]
+        part = x[order]
+        new = estimate_of(part.mean(axis=0), np.cov(part.T, bias=True).reshape(COORDINATES, -1), target)
+        if i and new[_D] >= best[_D] - 1e-9:
+            break
+        best = new
+    return best
+
+
+def candidates(x: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+    """The KEPT best estimates of ``x``, smallest determinant first."""
+    x = x[np.lexsort(x.T[::-1])]
+    rng = np.random.default_rng(20240607)
+    centre = np.median(x, axis=0)
+    starts = [estimate_of(centre, np.diag(np.square(1.4826 * np.median(np.abs(x - centre), axis=0))), target)]
+    for _ in range(STARTS if len(x) > COORDINATES + 1 else 0):
+        part = x[rng.choice(len(x), COORDINATES + 1, replace=False)]
+        starts.append(estimate_of(part.mean(axis=0), np.cov(part.T, bias=True), target))
+    found = sorted((concentrate(x, target, s) for s in starts), key=lambda e: e[_D])
+    kept = [found[0]]
+    for e in found[1:]:
+        if len(kept) < KEPT and all(abs(e[_D] - k[_D]) > 1e-6 for k in kept):
+            kept.append(e)
+    return kept
+
+
+def _started(table: pa.Table) -> pa.Table:
+    """Estimates of one group's subset."""
+    x, t = (np.stack([table.column(f"__{k}{i}").to_numpy() for i in range(COORDINATES)], axis=1) for k in "xt")
+    found = candidates(x, t.mean(axis=0))
+    group = table.column("__g")[0].as_py()
+    return pa.table({"__g": pa.array([group] * len(found)), "__c": pa.array(range(len(found)), pa.int32()), "__e": pa.array([e.tolist() for e in found], pa.list_(pa.float64()))})
+
+
+def _stepped(n: pd.Series, sums: pd.Series, products: pd.Series, target: pd.Series) -> pd.Series:
+    """Estimates from weighted sums over the rows taken."""
+    out = []
+    for k, s, q, t in zip(n, sums, products, target, strict=True):
+        centre = np.asarray(s) / k
+        out.append(estimate_of(centre, np.asarray(q).reshape(COORDINATES, COORDINATES) / k - np.outer(centre, centre), np.asarray(t)))
+    return pd.Series(out)
+
 
+def _shrunk(n: pd.Series, own: pd.Series, wider_n: pd.Series, wider: pd.Series, widest: pd.Series) -> pd.Series:
+    """Centre and scatter (made up for COVERAGE) of a group, each level with PRIOR documents of the next."""
+
+    def mixed(k: float | None, e, base: np.ndarray) -> np.ndarray:
+        if e is None or k is None or math.isnan(k):
+            return base
+        return (k * np.asarray(e)[:_I] + PRIOR * base) / (k + PRIOR)
 
-def _estimate(n: pd.Series, sums: pd.Series, products: pd.Series) -> pd.Series:
-    """Centre, then the inverse of the scatter (row by row), from sums over the kept rows."""
     out = []
-    for k, s, q in zip(n, sums, products, strict=True):
-        centre = np.asarray(s) / k
-        scatter = np.asarray(q).reshape(COORDINATES, COORDINATES) / k - np.outer(centre, centre)
-        # The h nearest of n rows spread less than all; then the floors keep it invertible.
-        scatter = scatter * SPREAD + np.diag(np.square(FLOORS))
-        out.append(np.concatenate([centre, np.linalg.inv(scatter).ravel()]))
+    for k, e, wk, w, top in zip(n, own, wider_n, wider, widest, strict=True):
+        m = mixed(k, e, mixed(wk, w, np.asarray(top)[:_I]))
+        out.append(np.concatenate([m[:_S], SPREAD * m[_S:]]))
+    return pd.Series(out)
+
+
+def _distance(model: pd.Series, x: pd.Series, t: pd.Series) -> pd.Series:
+    """Squared Mahalanobis distance in the scatter plus a text's own noise; null without an estimate."""
+    out = np.full(len(model), np.nan)
+    at = np.flatnonzero(model.notna())
+    if len(at):
+        m, d, v = (np.stack([np.asarray(a, float) for a in s.iloc[at]]) for s in (model, x, t))
+        d = d - m[:, :_S]
+        whole = m[:, _S:].reshape(-1, COORDINATES, COORDINATES) + v[:, :, None] * np.eye(COORDINATES)
+        out[at] = (d * np.linalg.solve(whole, d[:, :, None])[:, :, 0]).sum(axis=1)
     return pd.Series(out)
 
 
-#: A normal sample's scatter over that of its nearest COVERAGE share, in four dimensions.
-SPREAD = 1.54
+def apart(x: list[Column], e: Column) -> Column:
+    """Squared Mahalanobis distance to an estimate."""
+    d = [x[i] - e[i] for i in range(COORDINATES)]
+    return reduce(lambda a, b: a + b, [d[i] * d[j] * e[_I + i * COORDINATES + j] for i in range(COORDINATES) for j in range(COORDINATES)])
 
 
-def distance(x: list[Column], model: Column) -> Column:
-    d = [x[i] - model[i] for i in range(COORDINATES)]
-    terms = [d[i] * d[j] * model[COORDINATES + i * COORDINATES + j] for i in range(COORDINATES) for j in range(COORDINATES)]
-    return reduce(lambda a, b: a + b, terms)
+def _group(level: int, lang: Column, source: Column) -> Column:
+    """One text for a group of a level (0 all, 1 language, 2 language and source); nulls are values of their own."""
+    return F.to_json(F.struct(F.lit(level).alias("level"), *[c.alias(n) for c, n in ((lang, "lang"), (source, "source"))[:level]]))
 
 
-def models(stats: DataFrame, names: dict[str, str], group: list[str], scratch: Scratch) -> DataFrame:
-    """(group..., __model): the robust estimate of each group of at least LEAST rows that pass
-    the plain limits. ``group`` columns may be null; nulls form a group of their own."""
-    x = [F.col(f"__x{i}") for i in range(COORDINATES)]
+def looked_up(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (a table) with the one row of ``found`` that has their group."""
+    if found.count() <= BROADCAST:
+        return rows.join(F.broadcast(found), "__g", how)
+    return hot_join(rows, found, "__g", how)
+
+
+def estimates(stats: DataFrame, names: dict[str, str], lang_col: str, source_col: str, scratch: Scratch) -> DataFrame:
+    """(__g, __n, __e): the estimate of each group of each level, over the rows that pass the plain limits."""
+    xs, ts = ([f"__{k}{i}" for i in range(COORDINATES)] for k in "xt")
+    x = [F.col(c) for c in xs]
+    levels = F.array(*[_group(i, F.col(lang_col), F.col(source_col)) for i in range(3)])
     rows = stats.filter(~base_failed(names)).select(
-        *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], *[c.alias(f"__x{i}") for i, c in enumerate(coordinates(names))]
+        F.explode(levels).alias("__g"), *[c.alias(n) for c, n in zip(coordinates(names), xs, strict=True)], *[c.alias(n) for c, n in zip(noise(names), ts, strict=True)]
     )
-    keys = [f"__g{i}" for i in range(len(group))]
-    start = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(F.array(*x)[0], 0.5, 1000).alias("m0"), *[
-        F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x) if i
-    ]).filter(F.col("__n") >= LEAST)
-    diagonal = [F.lit(1 / FLOORS[i] ** 2 if i == j else 0.0) for i in range(COORDINATES) for j in range(COORDINATES)]
-    estimate = F.pandas_udf(_estimate, _MODEL)
-    model = scratch.save(start.select(*keys, F.array(*[F.col(f"m{i}") for i in range(COORDINATES)], *diagonal).alias("__model")))
-    for _ in range(STEPS):
-        sized = rows.join(model, reduce(lambda a, b: a & b, [rows[k].eqNullSafe(model[k]) for k in keys])).select(
-            *[rows[k] for k in keys], *x,
-            F.least(F.lit(HIGH_BIN), F.greatest(F.lit(LOW_BIN), F.floor(F.log(distance(x, F.col("__model")) + 1e-12) * BINS_PER_E))).cast("int").alias("__bin"),
+    rows = scratch.save(rows)
+    sizes = scratch.save(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"), F.array(*[F.avg(t) for t in ts]).alias("__target")))
+    # A subset of each group: partial limits come before the shuffle, so no task holds a group.
+    order = F.row_number().over(Window.partitionBy("__g").orderBy(F.xxhash64(*xs, *ts), *xs, *ts))
+    subset = rows.withColumn("__r", order).filter(F.col("__r") <= SUBSET).drop("__r")
+    first = scratch.save(subset.groupBy("__g").applyInArrow(_started, "__g string, __c int, __e array<double>"))
+    best = lambda df: df.groupBy("__g").agg(F.min(F.struct(F.col("__e")[_D].alias("d"), "__c", "__e")).alias("__b")).select("__g", F.col("__b.__e").alias("__e"))
+    small = best(first.join(sizes.filter(F.col("__n") <= SUBSET), "__g", "left_semi"))
+    large = sizes.filter(F.col("__n") > SUBSET)
+    current = scratch.save(first.join(large, "__g").select("__g", "__c", "__e", "__n", "__target"))
+    if current.isEmpty():
+        return small.join(sizes, "__g").select("__g", "__n", "__e")
+    members = scratch.save(rows.join(F.broadcast(large.select("__g")), "__g", "left_semi")) if large.count() <= BROADCAST else rows
+    stepped = F.pandas_udf(_stepped, "array<double>")
+    for step in range(STEPS):
+        held = current.groupBy("__g").agg(F.collect_list(F.struct("__c", "__e")).alias("__all"))
+        placed = looked_up(members, held).select("__g", *x, F.explode("__all").alias("__a")).select("__g", *x, "__a.__c", F.col("__a.__e").alias("__e"))
+        placed = placed.withColumn(
+            "__bin", F.least(F.lit(HIGH_BIN), F.greatest(F.lit(LOW_BIN), F.floor(F.log(apart(x, F.col("__e")) + 1e-12) * BINS_PER_E))).cast("int")
         )
-        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [
-            F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(COORDINATES) for j in range(i, COORDINATES)
-        ]
-        binned = sized.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__k"), *sums)
-        whole = Window.partitionBy(*keys)
-        kept = binned.withColumn("__all", F.sum("__k").over(whole)).withColumn(
-            "__before", F.sum("__k").over(whole.orderBy("__bin")) - F.col("__k")
-        ).filter(F.col("__before") < F.lit(COVERAGE) * F.col("__all"))
-        added = kept.groupBy(*keys).agg(
-            F.sum("__k").alias("__k"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(COORDINATES)],
-            *[F.sum(f"q{i}_{j}").alias(f"q{i}_{j}") for i in range(COORDINATES) for j in range(i, COORDINATES)],
+        pairs = [(i, j) for i in range(COORDINATES) for j in range(i, COORDINATES)]
+        binned = placed.groupBy("__g", "__c", "__bin").agg(
+            F.count(F.lit(1)).alias("__k"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i, j in pairs]
+        )
+        whole = Window.partitionBy("__g", "__c")
+        room = F.ceil(F.lit(COVERAGE) * F.sum("__k").over(whole)) - (F.sum("__k").over(whole.orderBy("__bin")) - F.col("__k"))
+        # The last bin counts in part, so that the share is exact.
+        part = binned.withColumn("__w", F.least(F.lit(1.0), F.greatest(F.lit(0.0), room / F.col("__k")))).filter("__w > 0")
+        w = F.col("__w")
+        sums = part.groupBy("__g", "__c").agg(
+            F.sum(F.col("__k") * w).alias("__k"), *[F.sum(F.col(f"s{i}") * w).alias(f"s{i}") for i in range(COORDINATES)], *[F.sum(F.col(f"q{i}_{j}") * w).alias(f"q{i}_{j}") for i, j in pairs]
         )
         products = F.array(*[F.col(f"q{min(i, j)}_{max(i, j)}") for i in range(COORDINATES) for j in range(COORDINATES)])
-        old, model = model, scratch.save(added.select(*keys, estimate(F.col("__k"), F.array(*[F.col(f"s{i}") for i in range(COORDINATES)]), products).alias("__model")))
-        scratch.drop(old)
-    return model.select(*[F.col(k).alias(c) for k, c in zip(keys, group, strict=True)], "__model")
+        old = current.select("__g", "__c", F.col("__e").alias("__old"), "__n", "__target")
+        made = sums.join(old, ["__g", "__c"]).withColumn("__new", stepped(F.col("__k"), F.array(*[F.col(f"s{i}") for i in range(COORDINATES)]), products, F.col("__target")))
+        # The subset's determinant is no measure for all documents: the first step replaces it.
+        better = F.lit(step == 0) | (F.col("__new")[_D] < F.col("__old")[_D] - 1e-6)
+        new = scratch.save(made.select("__g", "__c", F.when(better, F.col("__new")).otherwise(F.col("__old")).alias("__e"), "__n", "__target", better.alias("__better")))
+        done = new.filter("__better").isEmpty()
+        scratch.drop(current)
+        current = new
+        if done:
+            break
+    found = small.unionByName(best(current.select("__g", "__c", "__e")))
+    return found.join(sizes, "__g").select("__g", "__n", "__e")
 
 
 def judged(stats: DataFrame, names: dict[str, str], lang_col: str, source_col: str, scratch: Scratch) -> DataFrame:
-    """Adds __failed (the plain limits), __distance (null without an estimate) and __kept."""
-    fine, coarse = models(stats, names, [lang_col, source_col], scratch), models(stats, names, [lang_col], scratch)
-    fine = fine.select(F.col(lang_col).alias("__l"), F.col(source_col).alias("__s"), F.col("__model").alias("__fine"))
-    coarse = coarse.select(F.col(lang_col).alias("__cl"), F.col("__model").alias("__coarse"))
-    rows = stats.join(fine, F.col(lang_col).eqNullSafe(F.col("__l")) & F.col(source_col).eqNullSafe(F.col("__s")), "left")
-    rows = rows.join(coarse, F.col(lang_col).eqNullSafe(F.col("__cl")), "left").withColumn("__model", F.coalesce("__fine", "__coarse"))
-    rows = rows.withColumn("__failed", base_failed(names)).withColumn("__distance", distance(coordinates(names), F.col("__model")))
-    return rows.withColumn("__kept", ~F.col("__failed") & (F.coalesce("__distance", F.lit(0.0)) <= LIMIT)).drop(
-        "__l", "__s", "__cl", "__fine", "__coarse", "__model"
-    )
+    """Adds __failed (the plain limits), __distance (null if all texts fail those) and __kept."""
+    found = scratch.save(estimates(stats, names, lang_col, source_col, scratch))
+    lang, source = F.col(lang_col), F.col(source_col)
+    shrunk = F.pandas_udf(_shrunk, "array<double>")
+    groups = stats.select(*[_group(i, lang, source).alias(f"__g{i}") for i in range(3)]).distinct()
+    for i in range(3):
+        groups = groups.join(found.select(F.col("__g").alias(f"__g{i}"), F.col("__n").cast("double").alias(f"__n{i}"), F.col("__e").alias(f"__e{i}")), f"__g{i}", "left")
+    models = groups.filter("__e0 IS NOT NULL").select(F.col("__g2").alias("__g"), shrunk("__n2", "__e2", "__n1", "__e1", "__e0").alias("__model"))
+    models = scratch.save(models)
+    rows = looked_up(stats.withColumn("__g", _group(2, lang, source)), models, "left")
+    distance = F.pandas_udf(_distance, "double")
+    rows = rows.withColumn("__failed", base_failed(names)).withColumn("__distance", distance(F.col("__model"), F.array(*coordinates(names)), F.array(*noise(names))))
+    rows = rows.withColumn("__distance", F.when(F.isnan("__distance"), None).otherwise(F.col("__distance")))
+    return rows.withColumn("__kept", ~F.col("__failed") & (F.coalesce("__distance", F.lit(0.0)) <= LIMIT)).drop("__g", "__model")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -186,9 +328,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     One row per input row, over whole texts. Null, empty and blank texts have no
     words and fail the plain limits. Null languages and sources form groups of
-    their own. A group with too few documents, of a language with too few, has no
-    estimate: its documents are judged by the plain limits alone (distance null).
-    Repeated rows count each and get equal results; extra columns are ignored;
+    their own. Only where all texts fail the plain limits is there no estimate
+    (distance null). Texts of any length are read whole. Repeated rows count each and get equal results; extra columns are ignored;
     an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
@@ -202,7 +343,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of documents that pass, with all their columns."""
+    """Rows of documents that pass, with all their columns; nulls and repeats as in ``quality``."""
     scratch = Scratch(docs.sparkSession, "quality")
     names = {s: f"__{s}" for s in STATS}
     stats = scratch.save(with_statistics(docs, "text", names, docs.columns))
