@@ -1,5 +1,6 @@
 """Near duplicates, quality rules, toxicity, licence notices and the language model against plain restatements."""
 
+import itertools
 import math
 import random
 import re
@@ -139,20 +140,82 @@ def test_statistics():
         assert quality.statistics(text.encode(), hashes) == want
 
 
+def prose(rng, n, vocabulary):
+    return [" ".join(rng.choices(vocabulary, k=rng.randint(20, 200))) for _ in range(n)]
+
+
 def test_quality_rejects_junk_and_keeps_the_rest(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(300)]
-    good = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(20, 200)))) for i in range(80)]
+    good = list(enumerate(prose(rng, 80, vocabulary)))
     junk = [(100 + i, " ".join(w + rng.choice(["%%%", "$$$", "***"]) for w in rng.choices(vocabulary, k=60))) for i in range(4)]
-    edge = [(200, None), (201, ""), (202, "few words"), (203, "again and again and again and " * 10), (None, good[0][1])]
+    edge = [(200, None), (201, ""), (202, "few words"), (203, "again and again and again and " * 10), (None, good[0][1]), (204, "\n".join(f"l{i} x" for i in range(20_000)))]
     rows = {r.doc_id: r for r in quality.quality(frame(spark, good + junk + edge)).collect()}
     assert all(rows[i].kept and not rows[i].base_failed for i, _ in good) and rows[None].kept
     assert not any(rows[100 + i].kept for i in range(4)) and not any(rows[100 + i].base_failed for i in range(4))
     assert all(rows[i].base_failed and not rows[i].kept for i in (200, 201, 202, 203))
+    assert rows[204].n_words == 40_000 and not rows[204].base_failed
     small = quality.quality(frame(spark, good[:3])).collect()
-    assert all(r.kept and r.distance is None for r in small)
+    assert all(r.kept and r.distance is not None for r in small)
+    assert all(r.distance is None and not r.kept for r in quality.quality(frame(spark, [(1, None), (2, "x")])).collect())
     assert quality.quality(frame(spark, []).limit(0)).count() == 0
-    assert quality.keep_good(frame(spark, good + junk)).columns == frame(spark, good).columns
+    kept = quality.keep_good(frame(spark, good + junk + edge))
+    assert kept.columns == frame(spark, good).columns
+    assert {r.doc_id for r in kept.collect()} == {k for k, r in rows.items() if r.kept}
+
+
+def plain_mcd(x, target):
+    """The smallest determinant over all shares of the rows."""
+    h = math.ceil(quality.COVERAGE * len(x))
+    return min(np.linalg.slogdet(np.cov(x[list(c)].T, bias=True) + np.diag(target))[1] for c in itertools.combinations(range(len(x)), h))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_determinant_is_the_smallest(seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.standard_normal((10, 4)) * [1, 0.1, 0, 2], rng.standard_normal((3, 4)) + 6])
+    target = np.full(4, 0.01)
+    assert quality.candidates(x, target)[0][quality._D] == pytest.approx(plain_mcd(x, target), abs=0.05)
+
+
+def test_estimates_of_groups_and_levels(spark, monkeypatch):
+    """Languages and sources, nulls among them, small groups and ones that outgrow the subset, against plain loops."""
+    monkeypatch.setattr(quality, "SUBSET", 60)
+    rng = random.Random(9)
+    rows, k = [], 0
+    for lang, source, n, size in (("en", "a", 130, 5), ("en", "b", 40, 9), ("de", None, 90, 7), (None, "a", 3, 6), ("en", None, 1, 4)):
+        vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(size - 3, size + 3))) for _ in range(300)]
+        for i, t in enumerate(prose(rng, n, vocabulary)):
+            rows.append((k, t + (" $$ && ## " * 9 if i % 17 == 5 else ""), lang, source))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    hashes = quality.WordHashes()
+    stats = {i: quality.statistics(t.encode(), hashes) for i, t, _, _ in rows}
+
+    def vectors(i):
+        n, chars, symbols, dup, repeat, lines = stats[i]
+        x = [math.log(chars / n), math.sqrt(symbols / chars), math.sqrt(dup / lines), math.sqrt(repeat / n)]
+        return np.array(x), 0.25 / np.array([n, chars, lines, n / 5])
+
+    passed = [r for r in rows if not got[r[0]].base_failed]
+
+    def level(members):
+        x, t = (np.array(v) for v in zip(*[vectors(r[0]) for r in members], strict=True))
+        return len(x), min(quality.candidates(x, t.mean(axis=0)), key=lambda e: e[quality._D])[: quality._I]
+
+    for i, _, lang, source in rows:
+        mixed = level(passed)[1]
+        for members in ([r for r in passed if r[2] == lang], [r for r in passed if r[2:] == (lang, source)]):
+            n, e = level(members)
+            mixed = (n * e + quality.PRIOR * mixed) / (n + quality.PRIOR)
+        x, t = vectors(i)
+        d = x - mixed[:4]
+        want = d @ np.linalg.solve(quality.SPREAD * mixed[4:].reshape(4, 4) + np.diag(t), d)
+        assert got[i].distance == pytest.approx(want, rel=0.15, abs=0.3), (i, lang, source)
+        assert got[i].kept == (not got[i].base_failed and got[i].distance <= quality.LIMIT)
+    assert not any(got[r[0]].kept for r in rows if "$$" in r[1])
+    assert quality.chi_square_tail(quality.LIMIT, 4) == pytest.approx(1e-6, rel=1e-6) and quality.chi_square_quantile(0.05, 4) == pytest.approx(9.488, abs=1e-3)
 
 
 def test_gradients_match_differences():
@@ -179,6 +242,42 @@ def test_gradients_match_differences():
         assert g[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-2, rel=0.08, abs=3e-4), name
 
 
+def test_forward_equals_plain_loops():
+    """One number at a time: gates, both directions, attention."""
+    p = toxicity.empty_params(3)
+    words = [b"alpha", b"be", b"gamma.", b"alpha", b"z"]
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    n = toxicity.UNITS
+
+    def vector(word):
+        marked = b"^" + word + b"$"
+        grams = [(int.from_bytes(marked[i : i + 3], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 19 for i in range(len(marked) - 2)]
+        return [float(p["word"][zlib.crc32(word.strip(toxicity.EDGES)) % toxicity.WORD_ROWS][k]) + sum(float(p["char"][g][k]) for g in grams) / len(grams) for k in range(toxicity.WIDTH)]
+
+    def states(order, way):
+        h, out = [0.0] * n, []
+        for x in order:
+            a = [sum(x[k] * float(p["w"][way][k][j]) for k in range(len(x))) + float(p["b"][way][0][j]) for j in range(3 * n)]
+            u = [sum(h[k] * float(p["u"][way][k][j]) for k in range(n)) for j in range(3 * n)]
+            z, r = [sigmoid(a[j] + u[j]) for j in range(n)], [sigmoid(a[n + j] + u[n + j]) for j in range(n)]
+            c = [math.tanh(a[2 * n + j] + r[j] * u[2 * n + j]) for j in range(n)]
+            h = [(1 - z[j]) * h[j] + z[j] * c[j] for j in range(n)]
+            out.append(h)
+        return out
+
+    x = [vector(w) for w in words]
+    both = [f + b for f, b in zip(states(x, 0), states(x[::-1], 1)[::-1], strict=True)]
+    e = [sum(float(p["va"][j]) * math.tanh(sum(s[k] * float(p["wa"][k][j]) for k in range(2 * n)) + float(p["ba"][j])) for j in range(n)) for s in both]
+    weight = [math.exp(v) / sum(map(math.exp, e)) for v in e]
+    pooled = [sum(w * s[k] for w, s in zip(weight, both, strict=True)) for k in range(2 * n)]
+    want = sigmoid(sum(float(p["wo"][k]) * pooled[k] for k in range(2 * n)) + float(p["bo"][0]))
+    assert toxicity.Scorer(p).score([b" ".join(words)])[0] == pytest.approx(want, abs=1e-5)
+
+
+def test_sample_is_bound_by_whole_documents():
+    assert toxicity.within([5, 9, 4, 1, 7, 0], 10) == [True, False, True, True, False, True]
+
+
 def test_windows_cover_long_texts():
     p = toxicity.empty_params()
     s = toxicity.Scorer(p)
@@ -200,13 +299,16 @@ def test_toxicity_learns(spark):
                 words[rng.randrange(len(words))] = rng.choice(["zukkwort", "zukkling", "zukkerei", "vraxxor", "vraxxel"])
         texts.append((i, " ".join(words)))
         labels.append((i, 1, int(i % 4 == 0)))
-    texts += [(900, None), (901, ""), (None, "plain")]
+    texts += [(900, None), (901, ""), (None, "plain"), (902, " ".join(words) + " far" * 20_000), (903, " far" * 300)]
     frame_labels = spark.createDataFrame([*labels, (1, 1, None), (None, 1, 1), (7777, 1, 1)], "doc_id long, quality int, toxic int")
     rows = {r.doc_id: r for r in toxicity.toxicity(frame(spark, texts), frame_labels).collect()}
     held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert all(rows[i].held_out == (i in held) for i in range(240)) and not rows[None].held_out
     assert sum(rows[i].predicted == (i % 4 == 0) for i in held) >= 0.93 * len(held)
-    assert rows[900].score == rows[901].score and rows[900].predicted == 0
+    assert rows[900].score == rows[901].score and rows[900].predicted == 0 and rows[902].score >= max(rows[903].score, 0)
+    kept = toxicity.drop_toxic(frame(spark, texts), frame_labels)
+    assert kept.columns == frame(spark, texts).columns
+    assert {r.doc_id for r in kept.collect()} == {k for k, r in rows.items() if not r.predicted}
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows.values())
 
 
