@@ -4,8 +4,9 @@ Each source takes its rate = target / size of every document: the whole part of
 the rate as copies, and the fraction as an inclusion probability. The flight
 moves these probabilities through the null space of two balancing totals, words
 and documents, a document at a time: with three open documents there is always
-a direction that leaves both totals alone, and along it one of the three reaches
-0 or 1. A source is cut into blocks
+a direction that leaves both totals alone. Forward or backward along it one of the
+three reaches 0 or 1; which way is drawn so that every probability keeps its
+expectation, with numbers hashed from ids, so reruns agree. A source is cut into blocks
 of about BLOCK documents that fly on their own, all but RESERVE of their
 documents; what a block leaves open (the reserve and two at most) flies again
 with the rest of its source, in fewer blocks, until one block holds it all. That
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliptide.llm._common import WORD, Scratch
+from cliptide.llm._common import WORD, Scratch, mix64
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3
+#: Another seed draws another sample.
+SEED = 20240607
 BLOCK = 2048
 RESERVE = 10
 #: Open probabilities nearer to 0 or 1 than this are there.
@@ -35,10 +38,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def fly(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+def drawn(ids: np.ndarray, size: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """A number in [0, 1) for each document, by its id and size."""
+    h = mix64(mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(seed)) ^ size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (h >> np.uint64(11)).astype(float) * 2.0**-53
+
+
+def fly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """Moves probabilities, largest sizes first, until at most two are open.
 
-    Sums of p and of p * size stay as they are.
+    Sums of p and of p * size stay as they are; each p stays as it is on average
+    over the draws, of which a step uses that of the document it takes up.
     """
     p = p.copy()
     live = [i for i in np.argsort(-size, kind="stable").tolist() if NEAR < p[i] < 1 - NEAR]
@@ -51,7 +61,10 @@ def fly(p: np.ndarray, size: np.ndarray) -> np.ndarray:
         u = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
         if u == (0, 0, 0):
             u = (1.0, -1.0, 0.0)
-        step = min(((1 - p[k]) / x if x > 0 else p[k] / -x) for k, x in zip(hand, u, strict=True) if x)
+        moves = [(p[k], x) for k, x in zip(hand, u, strict=True) if x]
+        ahead = min((1 - q) / x if x > 0 else q / -x for q, x in moves)
+        back = min(q / x if x > 0 else (1 - q) / -x for q, x in moves)
+        step = ahead if draw[i] * (ahead + back) < back else -back
         for k, x in zip(hand, u, strict=True):
             p[k] += step * x
         hand = [k for k in hand if NEAR < p[k] < 1 - NEAR]
@@ -77,7 +90,7 @@ def _block(table: pa.Table) -> pa.Table:
     due = float(p @ size)
     reserve = np.unique(np.linspace(0, len(p) - 1, min(RESERVE, len(p))).astype(int))
     flying = np.setdiff1d(np.arange(len(p)), reserve)
-    p[flying] = fly(p[flying], size[flying])
+    p[flying] = fly(p[flying], size[flying], drawn(ids[order, 1], size)[flying])
     done = (p < NEAR) | (p > 1 - NEAR)
     p[done] = np.round(p[done])
     if table.column("__last")[0].as_py():
@@ -148,8 +161,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     taken is 0 to 3 times the size. Null texts have size 0 and nothing to take;
     null sources are one source, last in order; a null doc_id is an id like any
-    other. Rows equal in id, source and size are taken together. Reruns agree: no
-    step draws random numbers. Extra columns are ignored; an empty table gives
+    other. Rows equal in id, source and size are taken together. Reruns agree: all
+    draws are hashes of ids and sizes. Extra columns are ignored; an empty table gives
     no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
@@ -158,11 +171,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "source_size", "target", "copies"
     )
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z"))
-    return rows.join(chosen, same).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.join(chosen.hint("merge"), same).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def repeat_mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row of documents as often as it is taken, with all its columns."""
+    """The mix itself: every row of documents as often as it is taken, with all its columns; rows
+    without words are never taken, other nulls and repeats are as in ``mix``."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.save(_rows(docs, "doc_id", "text", "source"))
     chosen = sampled(rows, scratch).filter("copies > 0").select(
@@ -170,5 +184,5 @@ def repeat_mixed(docs: DataFrame) -> DataFrame:
     )
     sized = docs.withColumn("__size", word_count(F.col("text")))
     same = sized["doc_id"].eqNullSafe(chosen["__d"]) & sized["source"].eqNullSafe(chosen["__s"]) & (F.col("__size") == F.col("__z"))
-    taken = sized.join(chosen, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    taken = sized.join(chosen.hint("merge"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return taken.select(*docs.columns)
