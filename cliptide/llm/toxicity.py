@@ -26,7 +26,7 @@ from cliptide.llm._common import MEMO_WORDS, WORD, fold_of, lower_words
 WINDOW, STRIDE, LEARN_STRIDE = 48, 24, 40
 #: Labelled documents of each class that the network learns from, at most, and their words. In the
 #: order of a hash of their ids, documents are taken whole; one that doesn't fit any more is passed over.
-SAMPLE_DOCS, SAMPLE_WORDS = 3000, 2_000_000
+SAMPLE_DOCS, SAMPLE_WORDS = 3000, 1_000_000
 #: Clean windows that a document has, counted when false alarms are weighed against misses.
 ALARM_WEIGHT = 40
 WORD_ROWS, CHAR_ROWS, WIDTH, UNITS = 1 << 14, 1 << 13, 16, 8
@@ -350,9 +350,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = texts.groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).alias("words")).orderBy(order, "doc_id").collect()
     taken = [r.doc_id for y in (0, 1) for r, fits in zip([r for r in sizes if r.toxic == y], within([r.words for r in sizes if r.toxic == y], SAMPLE_WORDS), strict=True) if fits]
     chosen = docs.sparkSession.createDataFrame([(k,) for k in taken], T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType)]))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(_sample, "window binary, role int").collect()
-    windows = sorted((bytes(r.window), r.role) for r in rows)
-    windows = [(w.split(), y) for w, y in windows]
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(_sample, "window binary, role int").toArrow()
+    same: dict[bytes, bytes] = {}  # one object for each distinct word
+    windows = [([same.setdefault(v, v) for v in w.split()], y) for w, y in sorted(zip(rows.column("window").to_pylist(), rows.column("role").to_pylist(), strict=True))]
+    del rows, same
     apart = [w for w, y in windows if y == CALIBRATE]
     windows = [(w, y) for w, y in windows if y != CALIBRATE]
     if not any(y for _, y in windows) or all(y for _, y in windows):
@@ -365,13 +366,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def unlike(windows: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes], int]]:
     """Clean windows, then toxic ones, without those that repeat a good part of one before them:
     copies with other labels, or on both sides of a split, would teach texts by heart."""
-    seen: set[int] = set()
+    seen = np.zeros(1 << 27 - 3, np.uint8)
     out = []
     for words, y in sorted(windows, key=lambda w: w[1]):
-        grams = {zlib.crc32(b" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))}
-        if 5 * len(grams & seen) < len(grams):
+        grams = np.unique([zlib.crc32(b" ".join(words[i : i + 4])) >> 5 for i in range(max(1, len(words) - 3))])
+        at, bit = grams >> 3, np.uint8(1) << (grams & 7).astype(np.uint8)
+        if 5 * np.count_nonzero(seen[at] & bit) < len(grams):
             out.append((words, y))
-        seen |= grams
+        np.bitwise_or.at(seen, at, bit)
     return out
 
 
