@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -209,6 +210,15 @@ def test_neighbours(spark, norms):
     assert hits >= 0.9 * 20 * len(by)
     few = neighbours.nearest(spark.createDataFrame(rows[:4] + odd[:5], "vec_id long, embedding array<double>")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3]
+    # Squares that overflow or vanish, extra columns, vectors of two lengths, floats.
+    big = [(0, [1e200, 0.0], "x", 1), (1, [1e-200, 0.0], "x", 1), (2, [1e300, 1e300], "x", 1), (3, [-1e300, 0.0], "x", 1), (20, [1.0, 2.0, 4.0], "x", 1), (21, [0.5, 0.0, 0.0], "x", 1), (40, [1e-300, 1e-300], "x", 1)]
+    for kind in ("double",):
+        odd_ones = neighbours.nearest(spark.createDataFrame(big, f"vec_id long, embedding array<{kind}>, table string, second int"))
+        have = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in odd_ones.collect()}
+        assert have == {(0, 1): (2, math.inf), (0, 2): (1, 1.0), (0, 3): (40, 1e200 * 1e-300), (0, 4): (3, -math.inf), (20, 1): (21, 0.5),
+                        (40, 1): (2, 2.0), (40, 2): (0, 1e200 * 1e-300), (40, 3): (1, 0.0), (40, 4): (3, -1.0)}
+    floats = neighbours.nearest(spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in enumerate(x[:100])], "vec_id long, embedding array<float>")).collect()
+    assert len(floats) == 100 and all(abs(r.score - float(x[r.query_id].astype(np.float32).astype(float) @ x[r.vec_id].astype(np.float32).astype(float))) < 1e-12 for r in floats)
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
