@@ -4,12 +4,13 @@ Counting packs each task's distinct n-gram hashes into blocks by hash range; a
 range's blocks meet in one task, which adds them up and builds the range's part
 of the filter. Counts are quantised on a logarithmic grid (GRID): an n-gram of
 level j is entered j times, as (n-gram, 1) ... (n-gram, j), and a reader probes
-level after level until one is missing. The number of ranges follows the number
-of input partitions, so a range stays one task's work.
+level after level until one is missing. The number of ranges follows the bytes of
+text (RANGE_BYTES), so a range stays one task's work however files are cut.
 
-The parts are broadcast up to FILTER_BYTES at a time. A larger filter is read in
-several passes over the texts, each with as many parts as fit, which note the
-levels found; nothing is left out.
+The parts, of single words and of bigrams, are broadcast up to FILTER_BYTES at a
+time. A larger filter is read in several passes over the texts, each with as many
+parts as fit, which note the levels found; nothing is left out. So a worker's memory
+is bounded and the passes grow with the filter: larger executors allow more bytes.
 
 Smoothing: P(w | h) = (c(h w) + MU * P(w)) / (c(h) + MU), P(w) = (c(w) + 0.5) /
 (N + 0.5 (V + 1)). Counts come from the filter, numerators as the least count of
@@ -29,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliptide.llm._common import Scratch, WordHashes, fold_of, lower_words, mix64
+from cliptide.llm._common import Scratch, WordHashes, fold_of, hot_join, lower_words, mix64
 
 FOLDS, HELD_OUT = 5, 1
 MU = 8.0
 BITS, PROBES = 9, 6
 #: Filter bytes that are broadcast at a time, and words whose exact counts are.
 FILTER_BYTES, HEAD_WORDS = 256 << 20, 2_000_000
+#: Text that makes one range, about.
+RANGE_BYTES = 8 << 20
 #: Tokens that a task scores at a time, and that it counts before it passes them on.
 CHUNK, COUNTED = 1 << 18, 1 << 21
 #: A word can't hold a space.
@@ -161,21 +164,37 @@ def _counted(ranges: int):
     return count
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """One range's sums and its part of the filter; single words also keep their counts."""
-    hashes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")])
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")]).astype(np.int64)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    hashes, counts = hashes[first], np.add.reduceat(counts, first)
-    n = table.column("n")[0].as_py()
-    words = hashes.view(np.int64) if n == 1 else np.empty(0, np.int64)
-    return pa.table({
-        "n": pa.array([n], pa.int32()), "part": pa.array([table.column("part")[0].as_py()], pa.int32()),
-        "total": pa.array([int(counts.sum())]), "distinct": pa.array([len(hashes)]), "bits": pa.array([build_part(hashes, counts).tobytes()], pa.binary()),
-        "words": pa.array([words.tolist()], pa.list_(pa.int64())), "times": pa.array([counts.tolist() if n == 1 else []], pa.list_(pa.int64())),
-    })
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each range's sums and its part of the filter; single words also keep their counts. Blocks come
+    range by range, and one range is held at a time."""
+    key, held = None, []
+
+    def done() -> pa.RecordBatch:
+        hashes = np.concatenate([h for h, _ in held])
+        counts = np.concatenate([c for _, c in held]).astype(np.int64)
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        hashes, counts = hashes[first], np.add.reduceat(counts, first)
+        n, part = key
+        words = hashes.view(np.int64) if n == 1 else np.empty(0, np.int64)
+        times = counts if n == 1 else np.empty(0, np.int64)
+        ends = pa.array(np.array([0, len(words)], np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([n], pa.int32()), pa.array([part], pa.int32()), pa.array([int(counts.sum())]), pa.array([len(hashes)]),
+             pa.array([build_part(hashes, counts).tobytes()], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(words)), pa.ListArray.from_arrays(ends, pa.array(times))],
+            ["n", "part", "total", "distinct", "bits", "words", "times"],
+        )
+
+    for batch in batches:
+        for n, part, h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if key is not None and key != (n, part):
+                yield done()
+                held.clear()
+            key = (n, part)
+            held.append((np.frombuffer(h.as_buffer(), np.uint64).copy(), np.frombuffer(c.as_buffer(), np.uint32).copy()))
+    if held:
+        yield done()
 
 
 _MODEL = "n int, part int, total long, distinct long, bits binary, words array<long>, times array<long>"
@@ -183,10 +202,12 @@ _MODEL = "n int, part int, total long, distinct long, bits binary, words array<l
 
 def train(docs: DataFrame, scratch: Scratch, text_col: str) -> tuple[DataFrame, int]:
     """(model table, number of ranges) from all rows of ``docs``."""
-    parts = docs.select(F.col(text_col).cast("string").alias("text"))
-    ranges = 1 << max(4, (parts.rdd.getNumPartitions() - 1).bit_length())
-    blocks = parts.mapInArrow(_counted(ranges), "n int, part int, hashes binary, counts binary")
-    return scratch.save(blocks.repartition(2 * ranges, "n", "part").groupBy("n", "part").applyInArrow(_merge, _MODEL), "lz4"), ranges
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()[0]["bytes"] or 0
+    ranges = 1 << max(4, (size // RANGE_BYTES).bit_length())
+    blocks = texts.mapInArrow(_counted(ranges), "n int, part int, hashes binary, counts binary")
+    dealt = blocks.repartition(2 * ranges, "n", "part").sortWithinPartitions("n", "part")
+    return scratch.save(dealt.mapInArrow(_merged, _MODEL), "lz4"), ranges
 
 
 def _scorer(shared, last: bool):
@@ -210,17 +231,19 @@ def _scorer(shared, last: bool):
                 flat = np.concatenate(tokens)
                 starts = np.cumsum([0, *map(len, tokens)])
                 grams, same = np.unique(np.concatenate([pairs_of(t) for t in tokens]), return_inverse=True)
-                levels = twos.levels(grams)[same]
-                prior = [p.as_buffer() if p.is_valid else None for p in priors[lo:hi]]
-                for k, p in enumerate(prior):
-                    if p is not None:
-                        levels[starts[k] : starts[k + 1]] += np.frombuffer(p, np.uint8)
+                found, back = np.unique(flat, return_inverse=True)
+                # Levels of pairs, then of single words; a range's part is in one pass alone.
+                levels = np.stack([twos.levels(grams)[same], ones.levels(found)[back]])
+                for k, prior in enumerate(priors[lo:hi]):
+                    if prior.is_valid:
+                        levels[:, starts[k] : starts[k + 1]] += np.frombuffer(prior.as_buffer(), np.uint8).reshape(2, -1)
                 if not last:
-                    out += [levels[starts[k] : starts[k + 1]].tobytes() for k in range(len(tokens))]
+                    out += [levels[:, starts[k] : starts[k + 1]].tobytes() for k in range(len(tokens))]
                     lo = hi
                     continue
-                found, back = np.unique(flat, return_inverse=True)
-                level = ones.levels(found).astype(np.int64)
+                level = np.zeros(len(found), np.int64)
+                level[back] = levels[1]
+                levels = levels[0].astype(np.int64)
                 single = (least_count(level) + 0.5) / z
                 most = largest_count(level)
                 before = np.empty(len(flat), np.int64)
@@ -287,11 +310,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         passes[-1].append(key)
         room -= bits[key]
     scored = rows.withColumn("levels", F.lit(None).cast("binary"))
-    singles = {k for k in bits if k[0] == 1}
     for i, keys in enumerate(passes):
         last = i == len(passes) - 1
-        wanted = {k for k in keys if k[0] == 2} | (singles if last else set())
-        words, pairs = (_parts(model, ranges, n, {p for m, p in wanted if m == n}) for n in (1, 2))
+        words, pairs = (_parts(model, ranges, n, {p for m, p in keys if m == n}) for n in (1, 2))
         shared = spark.sparkContext.broadcast((words, pairs, *(head if last else (None, None)), total, distinct))
         scored = scratch.save(scored.mapInArrow(_scorer(shared, last), _SCORED if last else "doc_id long, text string, levels binary"))
     z = total + 0.5 * (distinct + 1)
@@ -300,7 +321,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = rest.select("text_key", F.col("r.rest").alias("word"), F.col("r.rest_times").alias("tf")).join(tail, "word").groupBy("text_key").agg(
         F.sum("tf").alias("more_known"), F.sum(F.col("tf") * (F.log10((F.col("times") + 0.5) / F.lit(z)) - F.log10(F.lit(0.5 / z)))).alias("more_base")
     )
-    return scored.join(more, "text_key", "left").select(
+    return hot_join(scored, more, "text_key", "left").select(
         "doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
     )
