@@ -352,6 +352,36 @@ def test_language_model(spark):
     assert language_model.score_texts(frame(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"filter_bytes": 60_000}])
+def test_scores_equal_dictionaries_of_bigrams(spark, monkeypatch, limits):
+    """The model with exact tables in place of the filter, which is made too large to err."""
+    monkeypatch.setattr(language_model, "BITS", 80)
+    monkeypatch.setattr(language_model, "RANGE_BYTES", 500)
+    rng = random.Random(13)
+    texts = corpus(10) + [(400 + i, "the cat sat on the mat " * rng.randint(1, 9)) for i in range(9)] + [(None, "w1 w2"), (500, "w3 " * 30_000), (501, None), (502, "w3 " * 30_000)]
+    ones, twos = Counter(), Counter()
+    for k, t in texts:
+        if k is None or zlib.crc32(str(k).encode()) % 5 != 1:
+            w = [*lowered(t), None]
+            ones.update(w)
+            twos.update(zip([None, *w], w, strict=False))
+    z = sum(ones.values()) + 0.5 * (len(ones) + 1)
+    least = lambda c: int(language_model.least_count(language_model.level_of(np.array([c])))[0])
+    largest = lambda c: int(language_model.largest_count(language_model.level_of(np.array([c])))[0])
+
+    def score(t):
+        total = 0.0
+        for h, w in zip([None, *lowered(t)], [*lowered(t), None], strict=True):
+            pair = least(twos[(h, w)])
+            total += math.log10((pair + language_model.MU * (least(ones[w]) + 0.5) / z) / (max(largest(ones[h]), pair) + language_model.MU))
+        return total
+
+    got = sorted(((str(r.doc_id), r.n_tokens, r.score) for r in language_model.score_texts(frame(spark, texts), **limits).collect()))
+    want = sorted((str(k), len(lowered(t)) + 1, score(t)) for k, t in texts)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9)
+
+
 def test_filter_holds_every_count():
     rng = np.random.default_rng(2)
     hashes, counts = rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2), rng.geometric(0.3, 4000)
