@@ -1,21 +1,27 @@
 """WARC archives with revisit records, and a merged index of their captures.
 
 Pages become WARC/1.1 records: a payload's response, and revisits for equal
-payloads of at least LEAST_BYTES bytes. Spark's text writer puts the records into
-files of the shared store with the blank lines that end a record as separator,
-so executors need nothing but Spark's own access to it.
-
-Reading parses whole archives by their lengths, checks every response's payload
-against its digest, and yields one capture run per archive, sorted by URL key and
-timestamp. Runs are cut at common range boundaries; each range merges its pieces
-of all runs with a loser tree, one comparison a level for each capture, so the
-ranges in order are the global capture history.
+payloads of at least LEAST_BYTES bytes. Only pages whose digest a Bloom filter of
+the repeated ones lets pass are moved to learn that. Every record is a gzip member of its own, so an
+index entry's offset and length address the stored file. Spark's text writer puts the
+members into files of the shared store, so executors need nothing but Spark's own
+access to it; its separator is the zero byte that ends a member (the last byte of a
+size below 16 MB; a larger record is followed by an empty member, which readers skip).
+
+Archives hold at most RECORDS records and about VOLUME_BYTES bytes. Reading parses
+them member by member, checks every response's payload against its digest, and yields
+one capture run per archive, sorted by URL key and timestamp and written to the shared
+store. Runs are cut at common range boundaries, as many as leave about RANGE_ROWS
+captures in a range; each range merges its pieces of all runs with a loser tree, one
+comparison a level for each capture, so the ranges in order are the global capture
+history and no task holds more than a range.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -23,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliptide.llm._common import Scratch
+from cliptide.llm._common import Bloom, Scratch, hot_join
 
 LEAST_BYTES = 1000
-#: Records of one archive at most.
-RECORDS = 5000
+#: Records of one archive at most, bytes of one archive and captures of one merged range, about.
+RECORDS, VOLUME_BYTES, RANGE_ROWS = 5000, 64 << 20, 200_000
+#: Bytes that a member is read by at a time.
+STEP = 1 << 16
 END = "\r\n\r\n"
 PAGE = "<urn:cliptide:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,8 +46,8 @@ _INDEX = (
 _NAMES = [c.split()[0] for c in _INDEX.split(", ")]
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(value): the text of each page's record, without the blank lines at its end.
+def records(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(value): the text of each page's record, without the blank lines at its end, which ``write_archives`` adds.
 
     A page captured at second page_id of 2024 (modulo a year; a null id at its
     start). Of records with equal long payloads the one of the largest page_id is
@@ -49,9 +57,20 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    long_ = rows.filter(F.col("bytes") >= LEAST_BYTES)
-    first = long_.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("of"), "first")
-    rows = rows.join(first, (F.col("digest") == F.col("of")) & (F.col("bytes") >= LEAST_BYTES), "left")
+    rows = rows.withColumn("short", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long"))
+    first = rows.filter(F.col("bytes") >= LEAST_BYTES).groupBy("digest", "short").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = scratch.save(first.select(F.col("digest").alias("of"), "short", "first"))
+    among = Bloom(first, "short").test()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            open_ = among(batch.column("short").to_numpy()) & (batch.column("bytes").to_numpy() >= LEAST_BYTES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(open_)], [*batch.schema.names, "open"])
+
+    tested = rows.mapInArrow(split, "id long, url string, html string, bytes long, digest string, short long, open boolean")
+    alone = tested.filter("NOT open").select("id", "url", "html", "bytes", "digest", F.lit(None).cast("string").alias("of"), F.lit(None).cast("long").alias("first"))
+    met = hot_join(tested.filter("open").drop("open", "short"), first.withColumnRenamed("of", "digest").drop("short").withColumn("of", F.col("digest")), "digest", "left")
+    rows = alone.unionByName(met)
     again = F.col("of").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     second = F.pmod(F.coalesce("id", F.lit(0)), F.lit(31_536_000)).cast("decimal(18,6)")
     date = F.concat(F.replace((F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second)).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
@@ -68,9 +87,31 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return rows.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body).alias("value"))
 
 
+def member(record: bytes) -> bytes:
+    """A gzip member of one record that ends in a zero byte, by an empty member if need be."""
+    out = gzip.compress(record, 6, mtime=0)
+    return out if out[-1] == 0 else out + gzip.compress(b"", 6, mtime=0)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members without their last byte, which the writer puts behind each, and the number of the task's archive."""
+    volume = held = records_ = 0
+    for batch in batches:
+        members, volumes = [], []
+        for value in batch.column(0).cast(pa.binary()):
+            m = member(value.as_py() + END.encode())
+            if records_ == RECORDS or (records_ and held + len(m) > VOLUME_BYTES):
+                volume, held, records_ = volume + 1, 0, 0
+            held, records_ = held + len(m), records_ + 1
+            members.append(m[:-1])
+            volumes.append(volume)
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(volumes, pa.int32())], ["member", "volume"])
+
+
 def write_archives(recs: DataFrame, path: str) -> None:
-    """Gzipped archives of at most RECORDS records."""
-    recs.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    """Archives, volume=N/part-*: gzip members in a row."""
+    members = recs.mapInArrow(_packed, "member binary, volume int")
+    members.select(F.col("member").cast("string").alias("value"), "volume").write.partitionBy("volume").option("lineSep", "\0").text(path)
 
 
 def url_key(url: str) -> str:
@@ -83,19 +124,30 @@ def url_key(url: str) -> str:
     return (",".join(reversed(host.split("."))) + ")" + parts.path + (f"?{parts.query}" if parts.query else "")).lower()
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of every record."""
+def members(data: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of the gzip members of an archive that hold something."""
     at = 0
     while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:head].split(b"\r\n")
-        if not version.startswith(b"WARC/"):
-            raise ValueError(f"no record at {at}")
-        headers = dict(line.decode().split(": ", 1) for line in lines)
-        start = head + 4
-        stop = start + int(headers["Content-Length"])
-        yield at, stop - at, headers, data[start:stop]
-        at = stop + 4
+        reader, start, out = zlib.decompressobj(31), at, []
+        while not reader.eof:
+            if at >= len(data):
+                raise ValueError(f"the member at {start} is cut off")
+            part = data[at : at + STEP]
+            out.append(reader.decompress(part))
+            at += len(part)
+        at -= len(reader.unused_data)
+        if content := b"".join(out):
+            yield start, at - start, content
+
+
+def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and block of one record."""
+    head = record.index(b"\r\n\r\n")
+    version, *lines = record[:head].split(b"\r\n")
+    if not version.startswith(b"WARC/"):
+        raise ValueError("no record")
+    headers = dict(line.decode().split(": ", 1) for line in lines)
+    return headers, record[head + 4 : head + 4 + int(headers["Content-Length"])]
 
 
 def _page(name: str | None) -> int | None:
@@ -121,9 +173,8 @@ def order_of(row: tuple) -> tuple:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            archive = path.as_py().rsplit("/", 1)[-1]
-            data = gzip.decompress(content.as_buffer()) if archive.endswith(".gz") else content.as_py()
-            run = [(*capture(headers, block), archive, at, length) for at, length, headers, block in parse(data)]
+            archive = "/".join(path.as_py().rsplit("/", 2)[-2:])
+            run = [(*capture(*parse(record)), archive, at, length) for at, length, record in members(memoryview(content.as_buffer()))]
             run.sort(key=order_of)
             yield _batch(run)
 
@@ -136,7 +187,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Index rows of every archive, sorted within each: the capture runs."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_runs, _INDEX)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(_runs, _INDEX)
 
 
 class LoserTree:
@@ -182,7 +233,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             runs.setdefault(row[7], []).append(row)
-    for run in runs.values():  # the exchange may deliver a run's blocks in any order
+    for run in runs.values():  # in order already, unless the exchange delivers a run's blocks in another
         run.sort(key=order_of)
     out = []
     for row in LoserTree([runs[k] for k in sorted(runs)]):
@@ -195,22 +246,23 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """The runs in one global order, range after range. A range is bounded by the number of
-    ranges, not by keys: captures of one URL part by timestamp and page id."""
+    """The runs in one global order, range after range. Ranges are as many as keep each at about
+    RANGE_ROWS; captures of one URL part by timestamp, page id and place."""
+    ranges = max(1, -(-runs.count() // RANGE_ROWS))
     # Arrow batches keep the order within a partition, so partitions in order are the history.
-    return runs.repartitionByRange(F.col("urlkey"), F.col("timestamp"), F.col("page_id")).mapInArrow(_merged, _INDEX)
+    return runs.repartitionByRange(ranges, "urlkey", "timestamp", "page_id", "archive", "offset").mapInArrow(_merged, _INDEX)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, timestamp, archive,
     offset, length: the merged index of the archives written from ``pages``, one row per input row.
 
-    offset and length are a record's place in its archive once unzipped. Null
+    offset and length are the place of a record's gzip member in its archive. Null
     URLs have an empty key. Extra columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     path = f"{scratch.root}/archives"
-    write_archives(records(pages, id_col, url_col, html_col), path)
+    write_archives(records(pages, scratch, id_col, url_col, html_col), path)
     runs = scratch.save(read_runs(pages.sparkSession, path))
     return merge_runs(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "archive", "offset", "length")
 
