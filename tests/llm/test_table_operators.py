@@ -1,5 +1,6 @@
 """Packing, archives, mixing, neighbours and URL rules against plain restatements."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -104,6 +105,32 @@ def test_archives(spark):
     assert warc.archive_pages(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_archives_hold_members_at_their_offsets(spark, tmp_path, monkeypatch):
+    """Standard archives: any gzip reader reads them whole, and an entry's slice is its record."""
+    monkeypatch.setattr(warc, "VOLUME_BYTES", 3000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 7)
+    rng = random.Random(3)
+    pages = [(i, f"http://h{i % 5}.org/{i}", "".join(rng.choices("abc \u00e9\n", k=rng.choice([0, 900, 5000])))) for i in range(40)]
+    pages.append((40, "http://big/", "".join(rng.choices("abcdefgh", k=(16 << 20) + 5))))
+    pages += [(41 + i, "http://hot/", pages[2][2] or "z" * 1200) for i in range(300)]
+    frame_ = spark.createDataFrame([(*p, "d", 1) for p in pages], PAGES)
+    path = tmp_path / "archives"
+    warc.write_archives(warc.records(frame_, warc.Scratch(spark, "t")), str(path))
+    files = {f"{f.parent.name}/{f.name}": f.read_bytes() for f in path.rglob("part-*")}
+    runs = warc.read_runs(spark, str(path))
+    index = warc.merge_runs(runs).collect()
+    assert len(index) == len(pages) and [warc.order_of(tuple(r)) for r in index] == sorted(warc.order_of(tuple(r)) for r in index)
+    assert all(len(f) <= 3000 or gzip.decompress(f).count(b"WARC/1.1\r\n") == 1 for f in files.values())
+    assert sum(gzip.decompress(f).count(b"WARC-Record-ID") for f in files.values()) == len(pages)
+    html = {k: h for k, _, h in pages}
+    for r in index:
+        record = gzip.decompress(files[r.archive][r.offset : r.offset + r.length])
+        assert f"<urn:cliptide:page:{r.page_id}>".encode() in record and record.endswith(b"\r\n\r\n")
+        assert (html[r.page_id].encode() in record) == (r.record_type == "response") or not html[r.page_id]
+    with pytest.raises(ValueError):
+        list(warc.members(memoryview(next(iter(files.values()))[:-1])))
+
+
 def test_damage_is_noticed():
     headers = {"WARC-Type": "response", "WARC-Payload-Digest": "sha1:00", "WARC-Target-URI": "http://a/", "WARC-Date": "d", "WARC-Record-ID": "<urn:cliptide:page:1>"}
     with pytest.raises(ValueError):
