@@ -4,8 +4,10 @@ Everything over the pages is DataFrame expressions. The trees are trained on
 URLs that a rule decides, from their lexical features: length, depth, digit
 ratio, character entropy, parameter counts and statistics of the host's suffix.
 Training takes at most SAMPLE labelled URLs (the ones of smallest hash; a
-documented bound; the suffix statistics are of all of them), brings their binned features to the driver once, and turns
-the trees into one CASE expression.
+documented bound), brings their features to the driver once, and turns the trees
+into one CASE expression. The suffix statistics are of all labelled URLs. A URL that
+is learnt from sees those of the other FOLDS - 1 folds alone, so its own label never
+helps to predict it.
 """
 
 from __future__ import annotations
@@ -14,12 +16,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliptide.llm._common import Scratch
+from cliptide.llm._common import Scratch, hot_join
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Labelled URLs that the trees learn from, at most.
 SAMPLE = 20_000
+FOLDS = 5
+#: Suffixes whose statistics are broadcast at most; more are joined.
+BROADCAST = 100_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, RIDGE = 24, 3, 0.3, 24, 5, 1.0
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_labels", "suffix_share", "suffix_length")
 Tree = list[tuple[int, float]] | float
@@ -47,9 +52,18 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     u = F.coalesce(url, F.lit(""))
     n = F.length(u)
     digits = n - F.length(F.regexp_replace(u, "[0-9]", ""))
-    chars = F.filter(F.array_distinct(F.split(u, "")), lambda c: c != "")
-    share = lambda c: (n - F.length(F.replace(u, c, F.lit("")))) / n
-    entropy = F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+    # Runs of equal characters in sorted order: (character, run so far, sum of c log c of the runs behind).
+    chars = F.filter(F.array_sort(F.split(u, "")), lambda c: c != "")
+    bits = lambda k: k * F.log2(F.greatest(k, F.lit(1.0)))
+    runs = F.aggregate(
+        chars,
+        F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("s")),
+        lambda a, c: F.struct(
+            c.alias("c"), F.when(c == a["c"], a["k"] + 1).otherwise(1.0).alias("k"), F.when(c == a["c"], a["s"]).otherwise(a["s"] + bits(a["k"])).alias("s")
+        ),
+        lambda a: a["s"] + bits(a["k"]),
+    )
+    entropy = F.log2(F.greatest(n, F.lit(1))) - runs / F.greatest(n, F.lit(1))
     return {
         "length": n.cast("double"),
         "depth": F.size(F.filter(F.split(path, "/"), lambda s: s != "")).cast("double"),
@@ -140,19 +154,24 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url")
     """
     rows = featured(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")), "url")
     plain = [f for f in FEATURES if f != "suffix_share"]
-    blocked = F.sum((F.col("__given") == "block").cast("int"))
-    shares = rows.filter("__given IS NOT NULL").groupBy(F.col("__suffix").alias("__of")).agg(((blocked + 1) / (F.count(F.lit(1)) + 2)).alias("__f_suffix_share"))
-    shares = Scratch(pages.sparkSession, "url_filter").save(shares)
-    sample = rows.filter("__given IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(SAMPLE).select(
-        "__suffix", (F.col("__given") == "block").cast("int").alias("__y"), *[f"__f_{f}" for f in plain]
+    ill, fold = (F.col("__given") == "block").cast("int"), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    among = lambda i: (F.sum(F.when(F.col("__fold") != i, ill)), F.sum(F.when(F.col("__fold") != i, 1)))
+    share = lambda bad, n: (F.coalesce(bad, F.lit(0)) + 1) / (F.coalesce(n, F.lit(0)) + 2)
+    given = rows.filter("__given IS NOT NULL").withColumn("__fold", fold)
+    shares = given.groupBy(F.col("__suffix").alias("__of")).agg(
+        share(F.sum(ill), F.count(F.lit(1))).alias("__f_suffix_share"), F.array(*[share(*among(i)) for i in range(FOLDS)]).alias("__others")
     )
-    sample = sample.join(shares, F.col("__suffix") == F.col("__of")).collect()
+    shares = Scratch(pages.sparkSession, "url_filter").save(shares)
+    sample = given.orderBy(F.xxhash64("url"), "url").limit(SAMPLE).select("__suffix", "__fold", ill.alias("__y"), *[f"__f_{f}" for f in plain])
+    sample = sample.join(shares, F.col("__suffix") == F.col("__of")).withColumn("__f_suffix_share", F.get("__others", F.col("__fold"))).collect()
     y = np.array([r["__y"] for r in sample], float)
     x = np.array([[r[f"__f_{f}"] for f in FEATURES] for r in sample], float).reshape(len(sample), len(FEATURES))
     start, trees, edges = boost(x, y)
     score = F.lit(start if trees else -1.0)
     for tree in trees:
         score = score + F.lit(RATE) * as_column(tree, edges)
-    judged = rows.join(shares, F.col("__suffix") == F.col("__of"), "left").withColumn("__f_suffix_share", F.coalesce("__f_suffix_share", F.lit(0.5))).withColumn("score", score)
+    shares = shares.select(F.col("__of").alias("__suffix"), "__f_suffix_share")
+    known = rows.join(F.broadcast(shares), "__suffix", "left") if shares.count() <= BROADCAST else hot_join(rows, shares, "__suffix", "left")
+    judged = known.withColumn("__f_suffix_share", F.coalesce("__f_suffix_share", F.lit(0.5))).withColumn("score", score)
     verdict = F.coalesce("__given", F.when(F.col("score") >= 0, "block").otherwise("allow"))
     return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"), "score")
