@@ -283,6 +283,35 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(rows.limit(0)).count() == 0
 
 
+def test_lexical_features_equal_plain_counts(spark):
+    urls = ["http://a.b.org/x/y?k=1&l=2#z", "", None, "x", "aaaa", "https://EXAMPLE.net//q//", "".join(chr(0x4E00 + i) for i in range(3000)), "http://\u00e9\u00e9.fr/123"]
+    rows = url_filter.featured(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, u string"), "u")
+    for r in rows.collect():
+        u = urls[r.page_id] or ""
+        host, path = r["__host"], r["__path"]
+        counts, n = Counter(u).values(), len(u)
+        want = {
+            "length": n, "depth": len([x for x in path.split("/") if x]), "digit_ratio": sum(c in "0123456789" for c in u) / n if n else 0.0,
+            "entropy": -sum(c / n * math.log2(c / n) for c in counts), "parameters": sum(c in "?&=" for c in u),
+            "host_labels": len([x for x in host.split(".") if x]), "suffix_length": len(".".join(host.split(".")[-2:])),
+        }
+        assert {k: r[f"__f_{k}"] for k in want} == pytest.approx(want, abs=1e-9)
+
+
+def test_shares_leave_a_url_s_own_fold_out(spark, monkeypatch):
+    """Labels without any pattern: statistics that held a URL's own label would seem to predict it."""
+    seen = {}
+    boost = url_filter.boost
+    monkeypatch.setattr(url_filter, "boost", lambda x, y: seen.update(x=x, y=y) or boost(x, y))
+    monkeypatch.setattr(url_filter.matching_rule, "__defaults__", ((("com", "/r/", "block"), ("com", "/s/", "allow")),))
+    rng = random.Random(4)
+    urls = [(i, f"http://d{i}.com/{rng.choice('sr')}/") for i in range(300)] + [(400, "http://d1.com/q/")]
+    got = url_filter.judge_urls(spark.createDataFrame([(i, u, "x") for i, u in urls], "page_id long, url string, host string"))
+    assert got.count() == 301
+    # One URL for each suffix: without its own fold nothing is known.
+    assert set(seen["x"][:, url_filter.FEATURES.index("suffix_share")]) == {0.5} and 0 < seen["y"].mean() < 1
+
+
 def test_every_suffix_has_its_statistics(spark, monkeypatch):
     # 300 suffixes of one length, each of them blocked or allowed throughout.
     monkeypatch.setattr(url_filter.matching_rule, "__defaults__", ((("com", "/r/", "block"), ("com", "/s/", "allow")),))
