@@ -312,23 +312,45 @@ def test_toxicity_learns(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows.values())
 
 
-def test_licenses_agree_with_sql(spark):
+def license_texts():
+    rng = random.Random(5)
+    filler = lambda n: " ".join(rng.choices(["lorem", "ipsum", "dolor", "software", "license", "the", "of", "use"], k=n))
+    full = {name: t[-1] for name, t in license_scan.TEMPLATES.items()}
     notice = license_scan.TEMPLATES["MIT"][0]
-    texts = [
-        (1, notice), (2, f"before\n{notice}\nafter"), (3, "Foo bar. " + notice + " More text here."), (4, None), (5, ""), (6, "released"),
-        (7, "Released under the MIT licence."), (8, "This work is licensed under the GNU General Public License, version 3.\n" + notice), (8, "x"), (9, "a b " * 5000),
-    ]
-    got = license_scan.scan_licenses(frame(spark, texts)).collect()
-    rows = {(r.doc_id, i): r for i, r in enumerate(sorted(got, key=lambda r: (r.doc_id, r.license or "")))}
-    found = Counter((r.doc_id, r.license) for r in got)
-    assert found[(1, "MIT")] and found[(2, "MIT")] and found[(3, "MIT")] and found[(8, "GPL-3.0")] and found[(8, None)]
-    assert not any(r.license for r in got if r.doc_id in (4, 5, 6, 9)) and len(rows) == len(texts)
+    texts = [(1, notice), (2, f"before\n{notice}\nafter"), (3, "Foo bar. " + notice + " More text here."), (4, None), (5, ""), (6, "released"), (7, "Released under the MIT licence.")]
+    texts += [(8, "This work is licensed under the GNU\n General Public License, version 3.\n" + notice), (9, "a b " * 5000), (10, "Copyright 2020 Acme Inc, released under the\nMIT License.")]
+    texts += [(20 + i, f"{filler(50)}\n{full[name]}\n{filler(30)}") for i, name in enumerate(sorted(full))]
+    texts.append((50, filler(9) + " " + " ".join(w for i, w in enumerate(full["MIT"].split()) if i % 40 != 7) + filler(9)))
+    texts.append((51, " ".join(full["ISC"].split()[: len(full["ISC"].split()) // 2])))
+    return texts
+
+
+def test_licenses_agree_with_sql(spark):
+    texts = license_texts()
+    got = {r.doc_id: (r.license, r.dice, r.n_licenses) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    assert all(got[k][0] == "MIT" for k in (1, 2, 3, 10, 50)) and got[8][2] == 2 and got[8][0] in ("GPL-3.0", "MIT")
+    assert all(got[20 + i][:2] == (name, 1.0) for i, name in enumerate(sorted(license_scan.TEMPLATES)))
+    assert all(got[k] == (None, None, 0) for k in (4, 5, 6, 9, 51))
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    single = [(k, t) for k, t in texts if k != 8] + [texts[7]]
-    con.executemany("INSERT INTO documents VALUES (?, ?)", single)
-    want = sorted(map(repr, con.execute(f"SELECT doc_id, license, dice, n_notices FROM ({license_scan.oracle()})").fetchall()))
-    assert sorted(map(repr, (tuple(r) for r in license_scan.scan_licenses(frame(spark, single)).collect()))) == want
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    want = sorted(map(repr, con.execute(f"SELECT doc_id, license, dice, n_licenses FROM ({license_scan.oracle()})").fetchall()))
+    assert sorted(map(repr, (tuple(r) for r in license_scan.scan_licenses(frame(spark, texts)).collect()))) == want
+    twice = license_scan.scan_licenses(frame(spark, [texts[0], texts[0]])).collect()
+    assert len(twice) == 2 and twice[0] == twice[1] and license_scan.scan_licenses(frame(spark, []).limit(0)).count() == 0
+
+
+def test_anchors_find_what_all_windows_find():
+    """Every window of a text that is close enough to a template holds an anchor of it."""
+    shapes = license_scan.shapes_of(license_scan.TEMPLATES)
+    rng = random.Random(6)
+    for s in shapes:
+        for _ in range(20):
+            kept = [g for g in s.grams if rng.random() < 0.75]
+            own = set(kept) | {f"{i} {i}" for i in range(rng.randint(0, 5))}
+            if 2 * 100 * len(own & set(s.set)) >= license_scan.LEAST * (len(own) + len(s.set)):
+                assert own & {g for g, _ in s.anchors}
 
 
 def test_language_model(spark):
