@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cliptide.llm._common import Scratch, per_worker
+from cliptide.llm._common import Scratch
 
 CAPACITY = 4096
 END_ID = 1
 #: How far the fractional solution may be above the linear program's bound.
 GAP = 0.05
-#: Distinct words whose ids a worker remembers before it forgets them all, and bytes of text it cuts at a time.
-MEMO, CHUNK = 1_500_000, 32 << 20
+#: Distinct words whose ids a task remembers before it forgets them all, and bytes of text it cuts at a time.
+MEMO, CHUNK = 600_000, 32 << 20
 #: Pieces of one length that are ranked together at most: this many, and one in PARTS of all.
 PART, PARTS = 250_000, 512
 VOCABULARY = "word_bpe_49k.json"
@@ -130,7 +130,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
     """(doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = per_worker(f"word ids {vocabulary}", lambda: WordIds(vocabulary))
+        words = WordIds(vocabulary)
         for batch in batches:
             rows: list[tuple] = []
             i = 0
