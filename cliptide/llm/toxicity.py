@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliptide.llm._common import MEMO_WORDS, WORD, fold_of, lower_words
+from cliptide.llm._common import WORD, fold_of, lower_words
 
 WINDOW, STRIDE, LEARN_STRIDE = 48, 24, 40
 #: Labelled documents of each class that the network learns from, at most, and their words. In the
@@ -29,6 +29,8 @@ WINDOW, STRIDE, LEARN_STRIDE = 48, 24, 40
 SAMPLE_DOCS, SAMPLE_WORDS = 3000, 1_000_000
 #: Clean windows that a document has, counted when false alarms are weighed against misses.
 ALARM_WEIGHT = 40
+#: Distinct words whose projections a task remembers before it forgets them all.
+MEMO_WORDS = 200_000
 WORD_ROWS, CHAR_ROWS, WIDTH, UNITS = 1 << 14, 1 << 13, 16, 8
 #: Share of a batch's words whose word vector is shown in training; the rest rely on their trigrams.
 WORD_SHOWN = 0.5
