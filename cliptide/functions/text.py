@@ -20,7 +20,8 @@ def vertical_name(number: Column, start: Column) -> Column:
 
 
 def folder_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    """What stands before the file name, with one slash at its end; the root's slashes stay as they are."""
+    return F.regexp_replace(F.regexp_extract(path, r"^(.*/)[^/]*$", 1), r"(?<=[^/])/+$", "/")
 
 
 def stem_of(path: Column) -> Column:
@@ -30,8 +31,7 @@ def stem_of(path: Column) -> Column:
 
 def beside(path: Column, suffix: str) -> Column:
     """The folder of ``path`` with its stem and a suffix."""
-    folder = folder_of(path)
-    return F.concat(F.when(folder == "", F.lit("")).otherwise(F.concat(folder, F.lit("/"))), stem_of(path), F.lit(suffix))
+    return F.concat(folder_of(path), stem_of(path), F.lit(suffix))
 
 
 def default_output(path: Column) -> Column:

@@ -18,9 +18,9 @@ def clips(selected: DataFrame, config: HighlightConfig = HighlightConfig()) -> D
 
 
 def verticals(bins: DataFrame) -> DataFrame:
-    """One compilation of each bin, named by its earliest moment."""
+    """One compilation of each bin, named by its earliest moment, with the filter it is rendered by."""
     grouped = bins.groupBy("video_id", "bin_no").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("n_items"), F.sum("duration").alias("duration"))
-    return grouped.withColumn("name", text.vertical_name(F.col("bin_no"), F.col("start")))
+    return grouped.withColumn("name", text.vertical_name(F.col("bin_no"), F.col("start"))).withColumn("filter", F.lit(VERTICAL_FILTER))
 
 
 def edit_list(selected: DataFrame, bins: DataFrame, video: DataFrame, config: HighlightConfig = HighlightConfig()) -> DataFrame:
@@ -45,6 +45,15 @@ def write_edit_list(listed: DataFrame, path: str) -> None:
     listed.repartitionByRange("video_id", "output").sortWithinPartitions("video_id", "output", "seq").write.mode("overwrite").partitionBy("output").parquet(path)
 
 
+def outcomes(video: DataFrame, moments: DataFrame) -> DataFrame:
+    """(video_id, outcome): no_duration and no_moments end a recording's run, done does not."""
+    found = moments.select("video_id").distinct().withColumn("found", F.lit(True))
+    lasting = F.coalesce(F.col("duration_s"), F.lit(0.0)) != 0
+    return video.join(found, "video_id", "left").select(
+        "video_id", F.when(~lasting, "no_duration").when(F.col("found").isNull(), "no_moments").otherwise("done").alias("outcome")
+    )
+
+
 def summary(video: DataFrame, ranked: DataFrame, moments: DataFrame, selected: DataFrame, bins: DataFrame) -> DataFrame:
     """Counts and lengths of each video; 0 where there is nothing."""
     count = lambda df, name: df.groupBy("video_id").agg(F.count(F.lit(1)).alias(name))

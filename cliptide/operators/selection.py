@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from cliptide.plans.config import PROFILES, HighlightConfig
 
 
 def target_seconds(duration: Column, config: HighlightConfig = HighlightConfig()) -> Column:
-    """The highlight's length: least up to short_s, most from long_s, linear between."""
+    """The highlight's length: least up to short_s, most from long_s, linear between. An unknown
+    profile is taken for Moyen, with a warning."""
+    if config.profile not in PROFILES:
+        warnings.warn(f"unknown profile {config.profile!r}, Moyen is used", stacklevel=2)
     low, high = (60.0 * m for m in PROFILES.get(config.profile, PROFILES["Moyen"]))
     between = low + (high - low) * ((duration - config.short_s) / (config.long_s - config.short_s))
     return F.when(duration <= config.short_s, low).when(duration >= config.long_s, high).otherwise(between)
@@ -30,6 +35,13 @@ def padded(cuts: DataFrame, config: HighlightConfig = HighlightConfig()) -> Data
     return cuts.withColumn("cut_start", start).withColumn("cut_length", (F.col("end") + config.pad_s) - F.col("cut_start"))
 
 
+def cut_overlap(cuts: DataFrame) -> DataFrame:
+    """(video_id, overlap_s): seconds that padding makes neighbouring cuts of a highlight share."""
+    before = F.lag(F.col("cut_start") + F.col("cut_length")).over(Window.partitionBy("video_id").orderBy("clip_no"))
+    shared = cuts.withColumn("shared", F.greatest(F.lit(0.0), F.coalesce(before - F.col("cut_start"), F.lit(0.0))))
+    return shared.groupBy("video_id").agg(F.round(F.sum("shared"), 6).alias("overlap_s"))
+
+
 def pack_bins(moments: DataFrame, config: HighlightConfig = HighlightConfig()) -> DataFrame:
     """First fit of each video's moments by rank into at most ``bins`` bins of bin_cap_s.
 

@@ -9,7 +9,7 @@ from cliptide.functions import text
 from cliptide.operators import fusion, output, scoring, selection
 from cliptide.plans.config import PROFILES, HighlightConfig
 from cliptide.plans.registry import ORACLES, QUERIES
-from cliptide.sources import fixtures
+from cliptide.sources import fixtures, tables
 
 #: Later entries build on earlier ones.
 STEPS = fixtures.SQL | {
@@ -45,7 +45,7 @@ STEPS = fixtures.SQL | {
       FROM walk w JOIN moments m ON m.video_id = w.video_id AND m.moment_rank = w.moment_rank + 1)""",
     "bins": """SELECT video_id, bin_no, (row_number() OVER (PARTITION BY video_id, bin_no ORDER BY start, moment_rank))::int AS item_no, moment_rank, start, "end", duration, score
     FROM walk JOIN moments USING (video_id, moment_rank) WHERE bin_no IS NOT NULL""",
-    "verticals": """SELECT *, printf('tiktok_%03d_%dm%02ds.mp4', bin_no, floor(start / 60)::bigint, floor(start % 60)::bigint) AS name FROM (
+    "verticals": """SELECT *, printf('tiktok_%03d_%dm%02ds.mp4', bin_no, floor(start / 60)::bigint, floor(start % 60)::bigint) AS name, 'crop=ih*9/16:ih,scale=1080:1920,setsar=1' AS filter FROM (
       SELECT video_id, bin_no, min(start) AS start, count(*) AS n_items, sum(duration) AS duration FROM bins GROUP BY ALL)""",
     "stems": """SELECT video_id, replace(regexp_replace(path, '[.]mp4$', '') || '_highlight', '''', '''\\''''') AS stem FROM video""",
 }
@@ -71,6 +71,7 @@ class Inputs:
         self.config = HighlightConfig(profile=profile)
         self.video, self.volume = fixtures.video(spark, sf_dir), fixtures.volume(spark, sf_dir)
         self.speech = fixtures.speech(spark, sf_dir)
+        self.held: DataFrame | None = None
 
     def scored(self) -> DataFrame:
         return scoring.score_chunks(scoring.chunk_grid(self.video), scoring.parse_volume(self.volume))
@@ -79,7 +80,14 @@ class Inputs:
         return scoring.rank_chunks(self.scored())
 
     def moments(self) -> DataFrame:
-        return fusion.moments(self.ranked(), self.speech)
+        if self.held is None:
+            self.held = fusion.moments(self.ranked(), self.speech)
+        return self.held
+
+    def shared(self) -> Inputs:
+        """Keeps the moments for outputs that read them more than once."""
+        self.moments().persist()
+        return self
 
     def selected(self) -> DataFrame:
         return selection.select_moments(self.moments(), self.video, self.config)
@@ -114,7 +122,21 @@ query(
     "moments_no_speech",
     """SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY chunk_rank))::int AS moment_rank, start, "end", duration, score FROM heard_spans""",
 )(lambda i, spark, sf_dir: fusion.moments(i.ranked(), fixtures.speech(spark, sf_dir, some_silent=True)))
-query("moments_overlapping_speech", None)(lambda i, spark, sf_dir: fusion.moments(i.ranked(), fixtures.overlapping_speech(spark, sf_dir)))
+#: Chunks are visited best first; one takes the free segments that overlap it and all between the first and the last.
+OVERLAPPING = """SELECT v.video_id, (row_number() OVER (PARTITION BY v.video_id ORDER BY rank))::int AS moment_rank, a.speech_start AS start, b.speech_end AS "end",
+    b.speech_end - a.speech_start AS duration, r.score FROM visits v JOIN long_speech a ON a.video_id = v.video_id AND a.seg_idx = v.low
+    JOIN long_speech b ON b.video_id = v.video_id AND b.seg_idx = v.high JOIN ranked r ON r.video_id = v.video_id AND r.chunk_rank = v.rank"""
+STEPS |= {
+    "long_speech": "SELECT video_id, seg_idx, speech_start, speech_end + CASE WHEN video_id % 3 = 1 THEN 12 ELSE 0 END AS speech_end FROM speech",
+    "met": """SELECT r.video_id, chunk_rank, list(seg_idx) FILTER (seg_idx IS NOT NULL) AS hits FROM ranked r LEFT JOIN long_speech s
+    ON r.video_id = s.video_id AND chunk_start < speech_end AND chunk_end > speech_start GROUP BY ALL""",
+    "visits": """SELECT video_id, 0 AS rank, []::int[] AS used, NULL::int AS low, NULL::int AS high FROM video
+    UNION ALL SELECT video_id, rank, CASE WHEN low IS NULL THEN used ELSE list_concat(used, range(low, high + 1)::int[]) END, low, high FROM (
+      SELECT video_id, rank, used, list_min(free)::int AS low, list_max(free)::int AS high FROM (
+        SELECT v.video_id, v.rank + 1 AS rank, used, list_filter(coalesce(hits, []), lambda x: NOT list_contains(used, x)) AS free
+        FROM visits v JOIN met ON met.video_id = v.video_id AND met.chunk_rank = v.rank + 1))""",
+}
+query("moments_overlapping_speech", OVERLAPPING)(lambda i, spark, sf_dir: fusion.moments(i.ranked(), fixtures.overlapping_speech(spark, sf_dir)))
 query("highlight_selection", "SELECT * FROM selected")(lambda i, *_: i.selected())
 query("padded_cuts", "SELECT * FROM padded")(lambda i, *_: selection.padded(i.selected()))
 query("clip_names", "SELECT video_id, clip_no, name FROM clips")(lambda i, *_: output.clips(i.selected()).select("video_id", "clip_no", "name"))
@@ -129,15 +151,84 @@ query(
         "video_id", text.default_output(F.col("path")).alias("default_output"), text.clips_folder(F.col("path")).alias("clips_folder"), text.vertical_folder(F.col("path")).alias("vertical_folder")
     )
 )
-query(
-    "edit_list",
-    """SELECT video_id, 'highlight' AS output, clip_no AS seq, 'file ''' || stem || '_clips/' || name || '''' AS line FROM clips JOIN stems USING (video_id)
-    UNION ALL SELECT video_id, printf('tiktok_%03d', bin_no), item_no, 'file ''' || stem || printf('_tiktoks/part_%03d_%03d.mp4', bin_no, item_no) || '''' FROM bins JOIN stems USING (video_id)""",
-)(lambda i, *_: output.edit_list(i.selected(), i.bins(), i.video))
+EDIT_LIST = """SELECT video_id, 'highlight' AS output, clip_no AS seq, 'file ''' || stem || '_clips/' || name || '''' AS line FROM clips JOIN stems USING (video_id)
+    UNION ALL SELECT video_id, printf('tiktok_%03d', bin_no), item_no, 'file ''' || stem || printf('_tiktoks/part_%03d_%03d.mp4', bin_no, item_no) || '''' FROM bins JOIN stems USING (video_id)"""
+query("edit_list", EDIT_LIST)(lambda i, *_: output.edit_list(i.shared().selected(), i.bins(), i.video))
 query(
     "highlight_summary",
     """SELECT video_id, coalesce(n_hype, 0) AS n_hype, coalesce(n_moments, 0) AS n_moments, coalesce(n_selected, 0) AS n_selected, coalesce(selected_s, 0) AS selected_s, coalesce(n_verticals, 0) AS n_verticals
     FROM video LEFT JOIN (SELECT video_id, count(*) AS n_hype FROM ranked GROUP BY 1) USING (video_id) LEFT JOIN (SELECT video_id, count(*) AS n_moments FROM moments GROUP BY 1) USING (video_id)
     LEFT JOIN (SELECT video_id, count(*) AS n_selected, sum(duration) AS selected_s FROM selected GROUP BY 1) USING (video_id)
     LEFT JOIN (SELECT video_id, count(DISTINCT bin_no) AS n_verticals FROM bins GROUP BY 1) USING (video_id)""",
-)(lambda i, *_: output.summary(i.video, i.ranked(), i.moments(), i.selected(), i.bins()))
+)(lambda i, *_: output.summary(i.video, i.ranked(), i.shared().moments(), i.selected(), i.bins()))
+
+
+def _derived_length(path: str) -> float:
+    """Stands for a probe; fails for some paths."""
+    return 1 / 0 if "'" in path else 10.0 * len(path)
+
+
+def _derived_log(path: str, start: float, length: float) -> str:
+    """Stands for a loudness measurement; fails for some chunks."""
+    return 1 / 0 if start % 70 == 30 else f"mean_volume: -{int(start) % 7 + 20}.0 dB max_volume: -{len(path)}.5 dB"
+
+
+def _derived_segments(path: str) -> list[dict]:
+    """Stands for a speech recogniser."""
+    return [{"start": 2.0 * i, "end": 2.0 * i + 1.5} for i in range(len(path) % 6)]
+
+
+query("duration_probe", "SELECT video_id, path, CASE WHEN contains(path, '''') THEN 0::double ELSE 10::double * length(path) END AS duration_s FROM video")(
+    lambda i, *_: tables.probe_durations(i.video, _derived_length)
+)
+query(
+    "loudness_probe",
+    """SELECT video_id, chunk_start, CASE WHEN chunk_start % 70 <> 30 THEN 'mean_volume: -' || (chunk_start::bigint % 7 + 20) || '.0 dB max_volume: -' || length(path) || '.5 dB' END AS log
+    FROM grid JOIN video USING (video_id)""",
+)(lambda i, *_: tables.measure_loudness(scoring.chunk_grid(i.video).join(i.video.select("video_id", "path"), "video_id"), _derived_log))
+query(
+    "speech_recognised",
+    "SELECT video_id, i::int AS seg_idx, 2::double * i AS speech_start, 2::double * i + 1.5::double AS speech_end FROM (SELECT video_id, unnest(range(length(path) % 6)) AS i FROM video)",
+)(lambda i, *_: tables.transcribe(i.video, _derived_segments))
+query("speech_transcripts", "SELECT * FROM speech")(
+    lambda i, *_: tables.speech_from_transcripts(
+        i.speech.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", F.col("speech_start").alias("start"), F.col("speech_end").alias("end")))).alias("segments"))
+    )
+)
+_ENDINGS = ("mp4", "MKV", "mov", "avi", "flv", "WebM", "wmv", "txt", "mp3", "mp4.part")
+query(
+    "media_formats",
+    f"""SELECT * FROM (SELECT video_id, 'rec.' || [{', '.join(map(repr, _ENDINGS))}][video_id % 10 + 1] AS path FROM video)
+    WHERE regexp_matches(lower(path), '[.](mp4|mkv|mov|avi|flv|webm|wmv)$')""",
+)(lambda i, *_: tables.media_files(i.video.select("video_id", F.concat(F.lit("rec."), F.get(F.array(*map(F.lit, _ENDINGS)), (F.col("video_id") % 10).cast("int"))).alias("path"))))
+
+
+def _without_failed(i: Inputs) -> DataFrame:
+    listed = output.edit_list(i.shared().selected(), i.bins(), i.video)
+    return output.without_failed(listed, listed.filter("seq % 4 = 1").select("video_id", "output", "seq"))
+
+
+query("edit_list_without_failed", f"SELECT * FROM ({EDIT_LIST}) WHERE seq % 4 <> 1")(lambda i, *_: _without_failed(i))
+query(
+    "cut_overlap",
+    """SELECT video_id, round(sum(greatest(0::double, coalesce(before - cut_start, 0::double))), 6) AS overlap_s FROM (
+    SELECT *, lag(cut_start + cut_length) OVER (PARTITION BY video_id ORDER BY clip_no) AS before FROM padded) GROUP BY 1""",
+)(lambda i, *_: selection.cut_overlap(selection.padded(i.selected())))
+query(
+    "request_check",
+    """SELECT *, CASE WHEN coalesce(path, '') = '' OR coalesce(output, '') = '' THEN 'unset' WHEN path NOT IN (SELECT path FROM video WHERE video_id % 5 <> 2) THEN 'missing' ELSE 'ready' END AS status
+    FROM (SELECT video_id, CASE WHEN video_id % 7 <> 3 THEN path END AS path, CASE WHEN video_id % 7 = 5 THEN '' ELSE 'out.mp4' END AS output FROM video)""",
+)(
+    lambda i, *_: tables.checked_requests(
+        i.video.select("video_id", F.when(F.col("video_id") % 7 != 3, F.col("path")).alias("path"), F.when(F.col("video_id") % 7 == 5, "").otherwise("out.mp4").alias("output")),
+        i.video.filter("video_id % 5 <> 2"),
+    )
+)
+query(
+    "run_outcomes",
+    """SELECT video_id, CASE WHEN video_id % 6 = 1 THEN 'no_duration' WHEN video_id % 6 = 4 OR video_id NOT IN (SELECT video_id FROM moments) THEN 'no_moments' ELSE 'done' END AS outcome FROM video""",
+)(
+    lambda i, *_: output.outcomes(
+        i.video.withColumn("duration_s", F.when(F.col("video_id") % 6 == 1, F.lit(0.0)).otherwise(F.col("duration_s"))), i.moments().filter("video_id % 6 <> 4")
+    )
+)

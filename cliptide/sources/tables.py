@@ -62,3 +62,28 @@ def speech_from_transcripts(transcripts: DataFrame) -> DataFrame:
     return transcripts.select("video_id", F.posexplode("segments").alias("seg_idx", "s")).select(
         "video_id", "seg_idx", F.col("s.start").cast("double").alias("speech_start"), F.col("s.end").cast("double").alias("speech_end")
     )
+
+
+def transcribe(paths: DataFrame, recognise: Callable[[str], list[dict]]) -> DataFrame:
+    """Speech of (video_id, path) by ``recognise``, a function of a path that gives segments with
+    start and end, in order. A failure ends the job: without speech there is nothing to cut."""
+
+    def heard(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [
+                (v, i, float(s["start"]), float(s["end"]))
+                for v, p in zip(part["video_id"], part["path"], strict=True)
+                for i, s in enumerate(recognise(p))
+            ]
+            yield pd.DataFrame(rows, columns=["video_id", "seg_idx", "speech_start", "speech_end"])
+
+    return paths.select("video_id", "path").mapInPandas(heard, SPEECH)
+
+
+def checked_requests(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """(video_id, path, output) with a status: unset where a path is null or empty, missing where
+    ``existing`` (path) does not hold the input, else ready."""
+    there = existing.select("path").distinct().withColumn("there", F.lit(True))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    status = F.when(blank("path") | blank("output"), "unset").when(F.col("there").isNull(), "missing").otherwise("ready")
+    return requests.join(there, "path", "left").select("video_id", "path", "output", status.alias("status"))

@@ -37,7 +37,10 @@ def test_base_queries_stand_alone(monkeypatch):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["moments_no_speech", "bin_packing", "edit_list", "highlight_summary"])
+@pytest.mark.parametrize("name", [
+    "moments_no_speech", "moments_overlapping_speech", "bin_packing", "vertical_names", "path_names", "edit_list", "edit_list_without_failed", "highlight_summary", "duration_probe",
+    "loudness_probe", "speech_recognised", "speech_transcripts", "media_formats", "cut_overlap", "request_check", "run_outcomes",
+])
 def test_agrees_with_sql(spark, name):
     from cliptide.plans import queries  # noqa: F401
     from cliptide.plans.registry import ORACLES, QUERIES

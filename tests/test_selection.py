@@ -75,3 +75,16 @@ def test_padding_and_names(spark):
     assert got[2].cut_start == 9.7 and got[2].cut_length == pytest.approx(10.6)
     assert got[7].name == "clip_007_10m42s.mp4"
     assert got[1000].name == "clip_1000_125m03s.mp4"
+
+
+def test_paths_beside_a_recording(spark):
+    from cliptide.functions import text
+
+    cases = {"/a.mp4": "/a_clips", "a.mp4": "a_clips", "/v/a.b.mkv": "/v/a.b_clips", "x//a.mp4": "x/a_clips", "//a": "//a_clips", "/v/.hidden": "/v/.hidden_clips"}
+    rows = spark.createDataFrame([(k,) for k in cases], "path string").select("path", text.clips_folder(F.col("path")).alias("out"))
+    assert {r.path: r.out for r in rows.collect()} == cases
+
+
+def test_unknown_profile_warns(spark):
+    with pytest.warns(UserWarning, match="Kurz"):
+        selection.target_seconds(F.lit(1.0), HighlightConfig(profile="Kurz"))
