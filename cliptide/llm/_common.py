@@ -8,6 +8,7 @@ import string
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ MEMO_WORDS = 400_000
 #: A key is hot above this many rows and above one in HOT_PARTS of them.
 HOT_LEAST, HOT_PARTS = 200, 1024
 BLOOM_BYTES = 32 << 20
+#: Whole texts, or sets of their size, that Python gets at a time.
+TEXT_ROWS = 2000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -39,15 +42,35 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """What runs meanwhile gives Python at most ``rows`` rows at a time (None: as the session has it,
+    which may be fewer in any case). A batch is held by the JVM and by Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, now = spark.conf.get(name, None), int(spark.conf.get(name))
+    if rows is None or 0 < now <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables of one operator run, written to the shared checkpoint folder.
 
     A saved table has no lineage but its files, so a lost executor costs one
-    task, and no step before it is computed twice.
+    task, and no step before it is computed twice. While a table is written,
+    Python gets ``rows`` rows at a time.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, rows: int | None = None):
+        self.spark, self.rows = spark, rows
         self.root = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self.drop_all)
@@ -55,7 +78,8 @@ class Scratch:
     def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", codec).parquet(path)
+        with batches_of(self.spark, self.rows):
+            df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cliptide_path = path
         return out
@@ -123,10 +147,11 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") ->
     if total <= least:
         return left.join(right.hint("merge"), on, how)
     hot = left.groupBy(F.col(on).alias("__hot")).agg(F.ceil(F.count(F.lit(1)) / least).cast("int").alias("__parts")).filter("__parts > 1")
-    found = [tuple(r) for r in hot.collect()]
-    if not found:
+    found = hot.toArrow()
+    if not len(found):
         return left.join(right.hint("merge"), on, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
+    # From Arrow, as rows would start Python workers that then stay beside those of the mapped steps.
+    hot = F.broadcast(left.sparkSession.createDataFrame(found))
     dealt = left.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__parts")), F.lit(0)).cast("int"))
     copies = right.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1)))
     return dealt.drop("__hot", "__parts").join(copies.drop("__hot", "__parts").hint("merge"), [on, "__part"], how).drop("__part")

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliptide.llm._common import HOT_LEAST, Bloom, Scratch, WordHashes, hot_join, lower_words, mix64
+from cliptide.llm._common import HOT_LEAST, TEXT_ROWS, Bloom, Scratch, WordHashes, batches_of, hot_join, lower_words, mix64
 from cliptide.llm.components import connected_components
 
 SHINGLE = 5
@@ -236,7 +236,7 @@ class _Groups:
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, row: Column):
-        self.scratch = s = Scratch(docs.sparkSession, "near_dedup")
+        self.scratch = s = Scratch(docs.sparkSession, "near_dedup", TEXT_ROWS)
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
         wide = s.save(self.docs.mapInArrow(_features, _FEATURES))
         self.rows = s.save(wide.select("doc_id", "row", "digest", "n_shingles"))
@@ -296,7 +296,8 @@ class _Groups:
         sets = s.save(nodes.join(self.sets.hint("merge"), "node").select("node", "label", "members"))
         counts = np.zeros(COUNTERS, np.int64)
         # At most COUNTERS sums.
-        found = sets.select("members").mapInArrow(_counted, "at long, times long").groupBy("at").agg(F.sum("times").alias("times")).toArrow()
+        with batches_of(s.spark, TEXT_ROWS):
+            found = sets.select("members").mapInArrow(_counted, "at long, times long").groupBy("at").agg(F.sum("times").alias("times")).toArrow()
         counts[found.column("at").to_numpy()] = found.column("times").to_numpy()
         shared = s.spark.sparkContext.broadcast(counts)
         hits = s.save(sets.mapInArrow(_rarest(shared), "key long, node long, label long, n long, behind long"))
@@ -409,14 +410,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = told.groupBy("row", "doc_id", "__gone").count().filter("__gone OR count > 1")
     marked = s.save(marked.select("row", F.col("doc_id").alias("__id"), "__gone"))
     among = Bloom(marked, "row").test()
-    at = len(docs.columns)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(among(batch.column(at).to_numpy()))], [*batch.schema.names, "__open"])
+    def may_be_marked(rows: pa.Array) -> pa.Array:
+        return pa.array(among(rows.to_numpy()))
 
-    hashed = docs.withColumn("__row", row)
-    tested = hashed.mapInArrow(split, T.StructType([*hashed.schema.fields, T.StructField("__open", T.BooleanType())]))
+    # Python gets the hashes alone.
+    tested = docs.withColumn("__row", row).withColumn("__open", F.arrow_udf(may_be_marked, T.BooleanType())("__row"))
     # Only rows that the filter lets pass are moved.
     same = (F.col("__row") == F.col("row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
     asked = tested.filter("__open").join(marked.hint("merge"), same, "left").filter("__gone IS NULL OR NOT __gone")

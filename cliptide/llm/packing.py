@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import string
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,14 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cliptide.llm._common import Scratch
+from cliptide.llm._common import TEXT_ROWS, Scratch
 
 CAPACITY = 4096
 END_ID = 1
 #: How far the fractional solution may be above the linear program's bound.
 GAP = 0.05
 #: Distinct words whose ids a task remembers before it forgets them all, and bytes of text it cuts at a time.
-MEMO, CHUNK = 600_000, 32 << 20
+MEMO, CHUNK = 600_000, 8 << 20
 #: Pieces of one length that are ranked together at most: this many, and one in PARTS of all.
 PART, PARTS = 250_000, 512
 VOCABULARY = "word_bpe_49k.json"
@@ -70,7 +71,8 @@ class WordIds:
         if found is None:
             if len(self.known) >= MEMO:
                 self.known.clear()
-            found = self.known[word] = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.encode(word, add_special_tokens=False).ids
+            found = self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +309,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     carried along. Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "packing")
+    scratch = Scratch(spark, "packing", TEXT_ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = scratch.save(pieces_of(rows, vocabulary or public_tokenizers.path(VOCABULARY), capacity))
     # One number for each length: at most ``capacity`` rows.

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cliptide.llm._common import WORD, fold_of, lower_words
 
@@ -351,7 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
     sizes = texts.groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).alias("words")).orderBy(order, "doc_id").collect()
     taken = [r.doc_id for y in (0, 1) for r, fits in zip([r for r in sizes if r.toxic == y], within([r.words for r in sizes if r.toxic == y], SAMPLE_WORDS), strict=True) if fits]
-    chosen = docs.sparkSession.createDataFrame([(k,) for k in taken], T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType)]))
+    # From Arrow, as rows would start Python workers that then stay beside those of the mapped steps.
+    chosen = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(taken, to_arrow_type(texts.schema["doc_id"].dataType))}))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(_sample, "window binary, role int").toArrow()
     same: dict[bytes, bytes] = {}  # one object for each distinct word
     windows = [([same.setdefault(v, v) for v in w.split()], y) for w, y in sorted(zip(rows.column("window").to_pylist(), rows.column("role").to_pylist(), strict=True))]
